@@ -32,7 +32,7 @@ def preferences(accept: Column) -> Column:
             rank = F.when(media == name, F.lit(specificity)).otherwise(rank)
         return F.struct(media.alias("range"), q.alias("q"), F.when(~bad, rank).alias("specificity"))
 
-    segments = F.filter(F.transform(F.split(accept, ","), F.trim), lambda s: s != "")
+    segments = F.filter(F.transform(F.split(accept, ","), lambda x: F.trim(x)), lambda s: s != "")
     return F.filter(F.transform(segments, parse), lambda p: p["specificity"].isNotNull())
 
 
@@ -79,7 +79,7 @@ def not_modified(if_none_match: Column, tag: Column) -> Column:
     """Whether an If-None-Match list names the tag; weak tags count as strong."""
     bare = lambda c: F.regexp_replace(c, '^"+|"+$', "")
     matches = F.exists(
-        F.transform(F.split(if_none_match, ","), F.trim),
+        F.transform(F.split(if_none_match, ","), lambda x: F.trim(x)),
         lambda t: (t == "*") | (bare(F.trim(F.regexp_replace(t, "^W/", ""))) == bare(tag)),
     )
     return F.coalesce(matches, F.lit(False))

@@ -66,7 +66,7 @@ def client_address(peer: Column, forwarded: Column, real: Column, trusted: list[
         return F.coalesce(out, F.lit(False))
 
     usable = lambda c: c.rlike(IPV4) & ~is_trusted(c)
-    hops = F.filter(F.transform(F.split(forwarded, ","), F.trim), usable)
+    hops = F.filter(F.transform(F.split(forwarded, ","), lambda x: F.trim(x)), usable)
     real = F.trim(real)
     found = F.coalesce(F.try_element_at(hops, F.lit(-1)), F.when(usable(real), real), peer)
     return F.when(is_trusted(peer), found).otherwise(peer)

@@ -49,9 +49,8 @@ def pad(px: DataFrame, w: int, h: int, box_w: int, box_h: int, background: int)
     """Centre images of ``w`` x ``h`` in a box; what they leave free gets the background."""
     dx, dy = (box_w - w) // 2, (box_h - h) // 2
     ids = px.select("image_id").distinct()
-    grid = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(box_h - 1))).alias("y")).select(
-        "image_id", F.col("y").cast("long"), F.explode(F.sequence(F.lit(0), F.lit(box_w - 1))).cast("long").alias("x")
-    )
+    places = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k.cast("long")))
+    grid = ids.select("image_id", places(box_h).alias("y")).select("image_id", "y", places(box_w).alias("x"))
     moved = px.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
     return grid.join(moved, ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(background)))
 

@@ -1 +1,149 @@
-QUERIES = {}
+"""Queries over rasters as tables of pixels: each vector is a grey image of 8 x 8."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from ..operators import pixels
+from ..sources.views import view
+
+SIDE = 8
+_PX = """WITH e AS (SELECT vec_id AS image_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+px AS (SELECT image_id, i // 8 AS y, i % 8 AS x, least(greatest(floor((v + 0.5::DOUBLE) * 255), 0), 255)::BIGINT AS v FROM e)"""
+
+
+def _px(spark, sf):
+    return pixels.from_vectors(view(spark, sf, "embeddings"), SIDE)
+
+
+def t1_orient(spark, sf):
+    return pixels.orient(_px(spark, sf), SIDE, SIDE, F.col("image_id") % 9)
+
+
+T1 = _PX + """SELECT image_id, v, CASE image_id % 9 WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y WHEN 8 THEN y ELSE x END AS x,
+  CASE image_id % 9 WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 7 - x WHEN 8 THEN 7 - x ELSE y END AS y FROM px"""
+
+
+def t2_rotate(spark, sf):
+    return pixels.rotate(_px(spark, sf), SIDE, SIDE, F.col("image_id") % 4 * 90)
+
+
+T2 = _PX + """SELECT image_id, v, CASE image_id % 4 WHEN 1 THEN 7 - y WHEN 2 THEN 7 - x WHEN 3 THEN y ELSE x END AS x,
+  CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 7 - y WHEN 3 THEN 7 - x ELSE y END AS y FROM px"""
+
+
+def t3_crop(spark, sf):
+    return pixels.crop(_px(spark, sf), F.col("image_id") % 3, F.col("image_id") % 4, F.lit(4), F.lit(3))
+
+
+T3 = _PX + """SELECT image_id, y - image_id % 4 AS y, x - image_id % 3 AS x, v FROM px
+WHERE x BETWEEN image_id % 3 AND image_id % 3 + 3 AND y BETWEEN image_id % 4 AND image_id % 4 + 2"""
+
+
+def t10_pad(spark, sf):
+    small = pixels.crop(_px(spark, sf), F.lit(2), F.lit(2), F.lit(4), F.lit(4))
+    return pixels.pad(small, 4, 4, 7, 9, 255)
+
+
+T10 = _PX + """, g AS (SELECT image_id, gy, gx FROM (SELECT DISTINCT image_id FROM px), range(9) AS a(gy), range(7) AS b(gx))
+SELECT g.image_id, gy AS y, gx AS x, coalesce(v, 255)::BIGINT AS v FROM g LEFT JOIN px ON px.image_id = g.image_id AND px.x - 2 + 1 = gx AND px.y - 2 + 2 = gy
+  AND px.x BETWEEN 2 AND 5 AND px.y BETWEEN 2 AND 5"""
+
+
+def t14_watermark(spark, sf):
+    """A mark of 3 x 2 pixels, half transparent, at the bottom right with a margin of one pixel."""
+    x0, y0 = geometry.watermark_offset(F.lit(SIDE), F.lit(SIDE), F.lit(3), F.lit(2), F.lit("bottom-right"), F.lit(1))
+    mark = spark.range(6).select((y0 + F.floor(F.col("id") / 3)).alias("y"), (x0 + F.col("id") % 3).alias("x"), (F.col("id") * 40 + 20).alias("mark"),
+                                 F.floor((F.col("id") * 30 + 60) * 50 / 100).alias("alpha"))
+    joined = _px(spark, sf).join(F.broadcast(mark), ["y", "x"], "left")
+    return joined.select("image_id", "y", "x", F.when(F.col("mark").isNull(), F.col("v")).otherwise(pixels.overlay(F.col("v"), F.col("mark"), F.col("alpha"))).alias("v"))
+
+
+T14 = _PX + """, m AS (SELECT 5 + i // 3 AS my, 4 + i % 3 AS mx, i * 40 + 20 AS mark, (i * 30 + 60) * 50 // 100 AS alpha FROM range(6) AS t(i))
+SELECT image_id, y, x, (CASE WHEN mark IS NULL THEN v ELSE (mark * alpha + v * (255 - alpha)) // 255 END)::BIGINT AS v FROM px LEFT JOIN m ON y = my AND x = mx"""
+
+
+def t16_transparency(spark, sf):
+    return pixels.transparency(_px(spark, sf), F.when(F.col("v") < 30, 128).otherwise(255))
+
+
+T16 = _PX + "SELECT image_id, bool_or(v < 30) AS transparent FROM px GROUP BY image_id"
+
+
+def _weights(rows):
+    return "(FROM (VALUES " + ", ".join(f"({t}, {s}, {w!r}::DOUBLE)" for t, s, w in rows) + ") AS t(t, s, w))"
+
+
+def _separable_sql(wx, wy):
+    return f""", wx AS {_weights(wx)}, wy AS {_weights(wy)},
+h AS (SELECT image_id, y, t AS x, sum(v * w) AS v FROM px JOIN wx ON x = s GROUP BY ALL), f AS (SELECT image_id, t AS y, x, sum(v * w) AS v FROM h JOIN wy ON y = s GROUP BY ALL)"""
+
+
+def t5_resize(spark, sf):
+    wx, wy = pixels.resize_weights(SIDE, 5), pixels.resize_weights(SIDE, 12)
+    return pixels.separable(_px(spark, sf), wx, wy).withColumn("v", F.round("v", 4))
+
+
+T5 = _PX + _separable_sql(pixels.resize_weights(SIDE, 5), pixels.resize_weights(SIDE, 12)) + " SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(v, 4) AS v FROM f"
+
+
+def t12_blur(spark, sf):
+    w = pixels.gauss_weights(SIDE, 1.5)
+    return pixels.separable(_px(spark, sf), w, w).withColumn("v", F.round("v", 4))
+
+
+T12 = _PX + _separable_sql(*[pixels.gauss_weights(SIDE, 1.5)] * 2) + " SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(v, 4) AS v FROM f"
+
+
+def t13_unsharp(spark, sf):
+    px, w = _px(spark, sf), pixels.gauss_weights(SIDE, 1.0)
+    return pixels.unsharp(px, pixels.separable(px, w, w))
+
+
+T13 = _PX + _separable_sql(*[pixels.gauss_weights(SIDE, 1.0)] * 2) + """ SELECT px.image_id, px.y, px.x,
+  (CASE WHEN abs(px.v - round(f.v)) > 1 THEN least(greatest(2 * px.v - round(f.v), 0), 255) ELSE px.v END)::BIGINT AS v FROM px JOIN f ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"""
+
+
+def q_metrics(spark, sf):
+    """Each image against a coarser copy of itself; every seventh against an equal one."""
+    coarse = F.when(F.col("image_id") % 7 == 0, F.col("v")).otherwise(F.floor(F.col("v") / 16) * 16 + F.col("x") % 3)
+    return pixels.quality(_px(spark, sf).select("image_id", F.col("v").alias("a"), coarse.alias("b")))
+
+
+Q = _PX + """, p AS (SELECT image_id, v::DOUBLE AS a, (CASE WHEN image_id % 7 = 0 THEN v ELSE v // 16 * 16 + x % 3 END)::DOUBLE AS b FROM px),
+s AS (SELECT image_id, avg((a - b) * (a - b)) * 0.75::DOUBLE AS mse, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cov FROM p GROUP BY image_id)
+SELECT image_id, CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE round(10 * log10(65025 / mse), 6) END AS psnr, round(least(greatest((2 * ma * mb + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE)
+  / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (va + vb + 58.5225::DOUBLE)), 0), 1), 6) AS ssim FROM s"""
+
+
+def e4_smallest(spark, sf):
+    """Of five encodings of each image the one with the fewest bytes; sizes follow the number of grey levels left."""
+    levels = [F.struct(F.lit(k).cast("long").alias("priority"), F.floor(F.col("v") / (1 << k)).alias("level")) for k in range(5)]
+    tried = _px(spark, sf).select("image_id", F.explode(F.array(*levels)).alias("t")).groupBy("image_id", "t.priority").agg(
+        (F.count_distinct("t.level") + F.col("t.priority") * 7).alias("bytes"))
+    return pixels.smallest(tried, "image_id").select("image_id", "priority", "bytes")
+
+
+E4 = _PX + """, t AS (SELECT image_id, k AS priority, count(DISTINCT v // (1 << k)) + k * 7 AS bytes FROM px, range(5) AS r(k) GROUP BY image_id, k)
+SELECT DISTINCT ON (image_id) image_id, priority, bytes FROM t ORDER BY image_id, bytes, priority"""
+
+
+def e7_target(spark, sf):
+    """The smallest quality whose quantised copy keeps the mean squared error within a bound, else the largest tried."""
+    px = _px(spark, sf)
+    steps = F.array(*(F.struct(F.lit(q).alias("quality"), F.lit(s).alias("step")) for q, s in ((10, 64), (40, 32), (70, 16), (90, 8), (100, 1))))
+    tried = px.select("image_id", "v", F.explode(steps).alias("s")).select("image_id", "v", "s.quality", "s.step")
+    error = F.avg(F.pow((F.col("v") - F.floor(F.col("v") / F.col("step")) * F.col("step")).cast("double"), 2))
+    scored = tried.groupBy("image_id", "quality").agg(error.alias("mse"))
+    return scored.groupBy("image_id").agg(F.coalesce(F.min(F.when(F.col("mse") <= 90, F.col("quality"))), F.lit(100)).cast("long").alias("quality"))
+
+
+E7 = _PX + """, s AS (SELECT image_id, q, avg(((v - v // st * st) * (v - v // st * st))::DOUBLE) AS mse FROM px, (VALUES (10, 64), (40, 32), (70, 16), (90, 8), (100, 1)) AS t(q, st) GROUP BY ALL)
+SELECT image_id, coalesce(min(q) FILTER (mse <= 90), 100)::BIGINT AS quality FROM s GROUP BY image_id"""
+
+QUERIES = {
+    "t1_orient": (t1_orient, T1), "t2_rotate": (t2_rotate, T2), "t3_crop": (t3_crop, T3), "t5_resize": (t5_resize, T5), "t10_pad": (t10_pad, T10),
+    "t12_blur": (t12_blur, T12), "t13_unsharp": (t13_unsharp, T13), "t14_watermark": (t14_watermark, T14), "t16_transparency": (t16_transparency, T16),
+    "q_metrics": (q_metrics, Q), "e4_smallest": (e4_smallest, E4), "e7_target": (e7_target, E7),
+}
