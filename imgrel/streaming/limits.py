@@ -13,14 +13,16 @@ from ..operators.limits import Bucket
 from ..operators.metrics import route
 
 
-def token_bucket_stream(events: DataFrame, rate: float, burst: float, idle: str = "5 minutes") -> DataFrame:
+def token_bucket_stream(events: DataFrame, rate: float, burst: float, idle: str | None = None) -> DataFrame:
     """``events`` (key, event_id, at in seconds) with ``admitted``.
 
     A key's state is its tokens and the time of its last event.  Events of a
-    micro-batch are ordered by time, then event_id; the state of a key that
-    stays idle is dropped, after which it starts with a full bucket.
+    micro-batch are ordered by time, then event_id.  With ``idle``, such as
+    ``5 minutes``, the state of a key that stays idle for so long is dropped,
+    after which it starts with a full bucket; the query then keeps waking up
+    to look for idle keys.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -32,12 +34,13 @@ def token_bucket_stream(events: DataFrame, rate: float, burst: float, idle: str
             bucket.tokens, bucket.at = state.get
         admitted = [bucket.take(float(at)) for at in rows["at"]]
         state.update((bucket.tokens, bucket.at))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows[["key", "event_id", "at"]].assign(admitted=admitted)
 
     return events.select("key", "event_id", "at").groupBy("key").applyInPandasWithState(
         run, "key long, event_id long, at double, admitted boolean", "tokens double, at double", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
 
 
