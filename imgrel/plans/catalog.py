@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import requests, service, rasters
+from . import rasters, requests, service, wire
 
-_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES}
+_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES}
 
 
 def queries():
