@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         .select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label"))
     )
-    pairs = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["labelled_id"]).select("label", "text")
+    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("label", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes = Shapes(bits)
