@@ -95,7 +95,7 @@ def p16_errors(spark, sf):
 
 
 P16 = duck("log") + ", e AS (FROM (VALUES " + ", ".join(f"({k}, '{e[0]}', {e[1]}, {e[2]}, '{e[3]}')" for k, e in enumerate(media.ERRORS)) + """) AS t(k, kind, status, exit_code, label))
-SELECT kind, status::BIGINT AS status, exit_code::BIGINT AS exit_code, label, count(*) AS n FROM log JOIN e ON event_id % 8 = k GROUP BY ALL"""
+SELECT kind, e.status::BIGINT AS status, exit_code::BIGINT AS exit_code, label, count(*) AS n FROM log JOIN e ON event_id % 8 = k GROUP BY ALL"""
 
 
 def m3_warnings(spark, sf):
