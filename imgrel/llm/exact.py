@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import materialize, shared_dir, table
 
-BUCKETS = 64
-
 
 def normalized(text: Column) -> Column:
     """The text without the characters of ``[\\x20\\x09-\\x0D]``; null counts as empty."""
@@ -40,17 +39,32 @@ class DigestIndex:
     """A bucketed table ``(digest, keep_id, n_points, keep_row)`` of all texts seen so far.
 
     ``path`` is a shared folder; an index that lies there already is opened
-    again, with the number of buckets that it was made with.
+    again, with the number of buckets that it was made with, which is kept
+    beside it.  A new one gets ``buckets`` of them, by default as many as the
+    session has shuffle partitions, so that they grow with what a cluster is
+    set up for.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
         self.name = f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/{self.name}"
+        self.buckets = buckets = self._made_with() or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, n_points BIGINT, keep_row BIGINT, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
+        if not self._made_with():
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{self.path}.buckets")
+
+    def _made_with(self) -> int | None:
+        try:
+            row = self.spark.read.schema("buckets int").parquet(f"{self.path}.buckets").first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return row["buckets"]
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -63,17 +77,8 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Every row of ``docs`` with its verdict, and the new texts appended to ``index``.
-
-    Returns ``(row_id, doc_id, digest, n_points, keep_id, group_size, kept)``.
-    Of equal texts in the batch the one with the most code points stays, then
-    the smallest doc_id, then one of the repeated rows; a text that the index
-    holds from an earlier batch is not kept.  A null doc_id comes after all
-    others.  Null texts count as empty and are equal to each other.
-    ``group_size`` counts the batch's rows.  Other columns play no part, and an
-    empty table gives an empty result.
-    """
+def _verdicts(docs: DataFrame, index: DigestIndex) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and one row for each digest with the row that stays; appends what is new."""
     batch = uuid.uuid4().hex
     rows = materialize(signatures(docs))
     order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_id"))
@@ -86,8 +91,24 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     groups = materialize(groups)
     fresh = groups.join(index.table().hint("merge"), "digest", "left_anti")
     index.append(fresh.withColumn("batch", F.lit(batch)))
-    seen = index.table().select("digest", "keep_id", "keep_row", (F.col("batch") == batch).alias("fresh"))
-    verdict = materialize(groups.select("digest", "group_size").join(seen.hint("merge"), "digest"))
+    seen = index.table().select(
+        "digest", "keep_id", "keep_row", F.col("n_points").alias("keep_points"), (F.col("batch") == batch).alias("fresh")
+    )
+    return rows, materialize(groups.select("digest", "group_size").join(seen.hint("merge"), "digest"))
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+    """Every row of ``docs`` with its verdict, and the new texts appended to ``index``.
+
+    Returns ``(row_id, doc_id, digest, n_points, keep_id, group_size, kept)``.
+    Of equal texts in the batch the one with the most code points stays, then
+    the smallest doc_id, then one of the repeated rows; a text that the index
+    holds from an earlier batch is not kept.  A null doc_id comes after all
+    others.  Null texts count as empty and are equal to each other.
+    ``group_size`` counts the batch's rows.  Other columns play no part, and an
+    empty table gives an empty result.
+    """
+    rows, verdict = _verdicts(docs, index)
     return rows.join(verdict, "digest").select(
         "row_id", "doc_id", "digest", "n_points", "keep_id", "group_size",
         (F.col("fresh") & (F.col("row_id") == F.col("keep_row"))).alias("kept"),
@@ -100,10 +121,12 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     Rows are found again by doc_id, digest and length; rows repeated in all
     three are one document and leave one row.
     """
-    verdicts = deduplicate(docs, index)
-    keys = ["doc_id", "digest", "n_points"]
-    kept = verdicts.where("kept").select(*(F.col(k).alias(f"kept_{k}") for k in keys))
-    repeated = verdicts.groupBy(*keys).count().where("count > 1").isEmpty()
+    rows, verdict = _verdicts(docs, index)
+    kept = verdict.where("fresh").select(
+        F.col("keep_id").alias("kept_doc_id"), F.col("digest").alias("kept_digest"), F.col("keep_points").alias("kept_n_points")
+    )
+    # from the rows, not from their join with the verdicts, where equal texts meet
+    repeated = not rows.groupBy("doc_id", "digest", "n_points").count().where("count > 1").isEmpty()
     signed = docs.withColumns({
         "kept_digest_": F.unhex(F.sha2(F.encode(normalized(F.col("text")), "UTF-8"), 256)),
         "kept_n_points_": F.length(F.coalesce("text", F.lit(""))).cast("long"),
@@ -113,7 +136,7 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
         & (F.col("kept_n_points_") == F.col("kept_n_points"))
     )
     out = signed.join(kept, same, "left_semi")
-    if not repeated:
+    if repeated:
         out = out.dropDuplicates(["doc_id", "kept_digest_", "kept_n_points_"])
     return out.select(*docs.columns)
 
