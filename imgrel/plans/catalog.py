@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rasters, requests, service, wire
+from . import policies, rasters, requests, service, wire
 
-_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES}
+_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES}
 
 
 def queries():
