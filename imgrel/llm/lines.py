@@ -1,15 +1,21 @@
-"""Operator 5: line dedup by content-defined chunks.
+"""Operator 5: line dedup.
 
-A hash of the hashes of the last ``WINDOW`` lines decides whether a chunk ends
+``dedup_passages`` (the query) cuts after every line and joins neighbouring
+lines again: every run of ``MIN_LINES`` lines of text is looked up, so each
+passage that repeats is found whole, wherever it begins and however long it
+is.  Runs are compared by SHA-256.  Each line crosses the network twice as a
+digest and a place, and texts once, to meet the lines to remove.
+
+``dedup_lines`` is the coarser form by content-defined chunks alone.  A hash of the hashes of the last ``WINDOW`` lines decides whether a chunk ends
 after a line, so boundaries depend on nearby content alone and come back
 wherever a passage is moved to.  A chunk of several lines that occurs again in
 the corpus is removed everywhere but at its first place.  Occurrences are
 grouped by hash and bytes: a hash under which two different chunks meet
 removes nothing.
 
-Texts cross the network twice: once as chunks, pre-aggregated on each side of
-the shuffle, and once to meet the positions to remove.  Everything else is a
-hash, an id and a position.
+There, texts cross the network twice: once as chunks, pre-aggregated on each
+side of the shuffle, and once to meet the positions to remove.  Everything
+else is a hash, an id and a position.
 """
 
 from __future__ import annotations
@@ -104,5 +110,79 @@ def dedup_lines(
     )
 
 
+def runs(text: Column, n_lines: int = MIN_LINES) -> Column:
+    """All runs of ``n_lines`` lines of text as ``(at, until, digest)``, with the positions (from 0) of first and last line.
+
+    White lines between two lines of text belong to the run and do not count.
+    """
+
+    def cut(lines: Column) -> Column:
+        def windows(solid: Column) -> Column:
+            def run(k: Column) -> Column:
+                at, until = F.get(solid, k), F.get(solid, k + n_lines - 1)
+                digest = F.unhex(F.sha2(F.array_join(F.slice(lines, at + 1, until - at + 1), "\n").cast("binary"), 256))
+                return F.struct(at.alias("at"), until.alias("until"), digest.alias("digest"))
+
+            starts = F.sequence(F.lit(0), F.size(solid) - n_lines)
+            return F.when(F.size(solid) >= n_lines, F.transform(starts, run))
+
+        positions = F.sequence(F.lit(0), F.size(lines) - 1)
+        return let(F.filter(positions, lambda i: F.get(lines, i).rlike(r"\S")), windows)
+
+    return let(F.split(text, "\n", -1), cut)
+
+
+def dedup_passages(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``(doc_id, text, n_removed)``, one row for each row of ``docs``; ``n_removed`` counts lines.
+
+    A line goes if a run of ``min_lines`` lines of text around it stands at an
+    earlier place, in the order of doc_id (null comes last), hash of the text
+    and position, that it does not overlap.  So every line of a repeated run
+    of that length or longer goes everywhere but at its first place, and each
+    line's text stays at one place at least.  A text that loses all its lines
+    becomes empty; a null text stays null.  A row is known by doc_id and text:
+    rows equal in both count as one and come back alike.  Other columns are
+    ignored.
+    """
+    rows = docs.select(
+        "doc_id", "text", F.xxhash64("text").alias("text_hash"), F.length("text").alias("text_length")
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "text_length", "at")
+    found = rows.where(F.contains("text", F.lit("\n"))).select(
+        "doc_id", "text_hash", "text_length", F.inline(runs(F.col("text"), min_lines))
+    ).select("digest", place.alias("place"), "until")
+    repeated = found.groupBy("digest").agg(
+        F.min("place").alias("first"), F.max("place").alias("last")
+    ).where("first < last").select("digest", "first")
+    repeated = materialize(repeated)
+    # equal runs have equally many lines
+    own_first = (
+        F.col("place.doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place.text_hash") == F.col("first.text_hash"))
+        & (F.col("place.text_length") == F.col("first.text_length"))
+        & (F.col("place.at") - F.col("first.at") <= F.col("until") - F.col("place.at"))
+    )
+    removed = (
+        found.join(repeated, "digest").where((F.col("place") > F.col("first")) & ~own_first)
+        .groupBy(*(F.col(f"place.{c}").alias(f"dropped_{c}") for c in ("doc_id", "text_hash", "text_length")))
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("place.at", "until")))).alias("drop"))
+    )
+    removed = materialize(removed)
+    joined = rows.join(
+        removed.hint("shuffle_hash"),
+        F.col("doc_id").eqNullSafe(F.col("dropped_doc_id")) & (F.col("text_hash") == F.col("dropped_text_hash"))
+        & (F.col("text_length") == F.col("dropped_text_length")), "left",
+    )
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return joined.select(
+        "doc_id",
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(let(F.split("text", "\n", -1), rest)).alias("text"),
+        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_passages(table(spark, sf_dir, "documents"))

@@ -186,6 +186,61 @@ def test_line_dedup_is_brute_force(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def slow_passages(rows):
+    """Kept lines by (doc_id, text): all runs of two lines of text in the order of places, by comparing them."""
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, lines_hash(r[1])))
+    first, out = {}, {}
+    for row in order:
+        parts = row[1].split("\n")
+        solid = [k for k, line in enumerate(parts) if re.search(r"\S", line, re.A)]
+        drop = set()
+        for a, b in zip(solid, solid[1:]):
+            where = first.setdefault(tuple(parts[a : b + 1]), (row, a))
+            if where[0] != row or a - where[1] > b - a:
+                drop |= set(range(a, b + 1))
+        out[row] = "\n".join(x for k, x in enumerate(parts) if k not in drop)
+    return out
+
+
+def lines_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def check_passages(rows, found):
+    want = slow_passages(rows)
+    assert len(found) == len(rows)
+    assert sorted(str((r.doc_id, r.text)) for r in found) == sorted(str((i, None if t is None else want[i, t])) for i, t in rows)
+    left = {x for r in found if r.text for x in r.text.split("\n")}
+    assert {x for _, t in rows if t for x in t.split("\n") if x.strip()} <= left  # no line is lost everywhere
+    return want
+
+
+def test_passages_are_brute_force(spark):
+    rng = random.Random(3)
+    passages = [[f"line {rng.random()}" for _ in range(n)] for n in (2, 2, 3, 4, 6, 8)]
+    passages[3][2] = ""
+    rows = [(1, None), (2, ""), (3, "one line"), (4, "\n\n\n"), (5, "\n\n\n"), (6, "a\n" * 7), (7, "a\nb\n" * 4), (8, "a\n\nb"), (9, "lone\n"), (10, "lone\n")]
+    for i in range(11, 80):
+        own = [f"own {i} {k}" for k in range(rng.randint(0, 6))]
+        at = rng.randint(0, len(own))
+        rows.append((i, "\n".join(own[:at] + rng.choice(passages) + own[at:])))
+    rows += [(80, rows[-1][1]), (80, rows[-1][1]), (None, "u\nv\n" + rows[20][1]), (None, "u\nv\nw"), (None, "x\ny"), (80, "x\ny\nz")]
+    found = lines.dedup_passages(docs(spark, rows)).collect()
+    check_passages(rows, found)
+    assert sum(r.n_removed for r in found) > 150
+    assert {r.doc_id: r.text for r in found if r.doc_id in (9, 10)} == {9: "lone\n", 10: "lone\n"}
+    assert lines.dedup_passages(docs(spark, [])).count() == 0
+
+
+def test_every_repeated_run_of_the_table_is_found(spark, sf_dir):
+    """Recall of the query against an independent search for repeated line runs."""
+    from imgrel.llm import queries
+
+    table = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    check_passages(table, queries.queries()["op5_lines"](spark, sf_dir).collect())
+
+
 def slow_vectors(rows):
     good = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     pairs = [
