@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tiff
+
 # Name, MIME type, lossy, optimisable, lossy-optimisable, carries ICC, raster,
 # default quality, default SSIM target, default background is opaque white.
 MEDIA_TYPES = [
@@ -95,6 +99,48 @@ def is_svg(text: Column) -> Column:
     return text.rlike(r"(?is)^\x{FEFF}?\s*(<\?xml.*?\?>\s*)?(<!DOCTYPE[^>]*>\s*)?(<!--.*?-->\s*)*<svg[ \t\n\r>]")
 
 
+def _at(content: Column, pos: Column, width: int, little: bool = False) -> Column:
+    """As ``u``, at a byte that is a column."""
+    text = F.hex(F.substr(content, pos.cast("int") + 1, F.lit(width)))
+    if little:
+        text = F.concat(*(F.substring(text, 2 * k + 1, 2) for k in range(width - 1, -1, -1)))
+    return F.conv(text, 16, 10).cast("long")
+
+
+def _webp_chunk(content: Column, walked: Column) -> Column:
+    """Offset of the first chunk that tells the size, past any others; null if there is none. Only ``walked`` rows are read."""
+    n = F.octet_length(content).cast("long")
+
+    def step(acc: Column, _: Column) -> Column:
+        pos = acc["pos"]
+        size = _at(content, pos + 4, 4, little=True)
+        tag = F.hex(F.substr(content, pos.cast("int") + 1, F.lit(4)))
+        ended = (pos + 8 > n) | (pos + 8 + size > n)
+        found = tag.isin("56503858", "56503820", "5650384C")
+        return F.when(acc["over"], acc).otherwise(F.struct(
+            (pos + 8 + size + size % 2).alias("pos"), F.when(found & ~ended, pos).alias("found"),
+            F.coalesce(ended | found, F.lit(True)).alias("over"),
+        ))
+
+    return _walk(content, 12, step, walked)
+
+
+def _walk(content: Column, first: int, step: Callable[[Column, Column], Column], walked: Column) -> Column:
+    """``found`` after as many steps on ``(pos, found, over)`` as there are bytes, or until it is over.
+
+    A step moves by a byte at least.  Steps are dealt into blocks of the square
+    root of their number, so that what is left when it is over costs little.
+    """
+    start = F.struct(
+        F.lit(first).cast("long").alias("pos"), F.lit(None).cast("long").alias("found"),
+        F.coalesce(~walked, F.lit(True)).alias("over"),
+    )
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(F.octet_length(content) + 1)).cast("int"))
+    none = F.array().cast("array<int>")
+    block = lambda acc, _: F.aggregate(F.when(acc["over"], none).otherwise(steps), acc, step)
+    return F.aggregate(F.when(walked, steps).otherwise(none), start, block, lambda acc: acc["found"])
+
+
 def _jpeg_frame(content: Column) -> Column:
     """Offset of the first start-of-frame marker, by walking at most 64 segments; null if there is none."""
 
@@ -120,27 +166,52 @@ def _jpeg_frame(content: Column) -> Column:
 
 def header(content: Column) -> Column:
     """``(media_type, width, height, has_alpha)`` from the header alone; null sizes where it names none."""
-    kind = sniff(content)
-    frame = _jpeg_frame(content)
+
+    def walked(file: Column, kind: Column) -> Column:
+        places = F.struct(
+            _webp_chunk(file, kind == "webp").alias("chunk"), _jpeg_frame(file).alias("frame"),
+            tiff.header(F.when(kind == "tiff", file)).alias("directory"),
+        )
+        return _let(places, lambda at: _header(file, kind, at["chunk"], at["frame"], at["directory"]))
+
+    return _let(content, lambda file: _let(sniff(file), lambda kind: walked(file, kind)))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _header(content: Column, kind: Column, chunk: Column, frame: Column, directory: Column) -> Column:
     be2 = lambda pos: F.conv(F.hex(F.substr(content, pos + 1, F.lit(2))), 16, 10).cast("long")
     signed = u(content, 22, 4, little=True)
     colour = u(content, 25, 1)
-    vp8x = starts(content, "56503858", 12)
+    le = lambda at, width: _at(content, chunk + at, width, little=True)
+    tag, size, bits = le(0, 4), le(4, 4), le(9, 4)
+    # VP8X, VP8 with its start code, VP8L with its signature
+    extended = (tag == 0x58385056) & (size >= 10)
+    lossy = (tag == 0x20385056) & (size >= 10) & (le(11, 3) == 0x2A019D)
+    lossless = (tag == 0x4C385056) & (size >= 5) & (le(8, 1) == 0x2F)
+    low = lambda number: number.bitwiseAND(F.lit(0x3FFF))
     width = (
         F.when(kind == "png", u(content, 16, 4)).when(kind == "bmp", u(content, 18, 4, little=True))
-        .when((kind == "webp") & vp8x, u(content, 24, 3, little=True) + 1).when(kind == "jpeg", be2(frame + 7))
+        .when(extended, le(12, 3) + 1).when(lossy, low(le(14, 2))).when(lossless, low(bits) + 1)
+        .when(kind == "jpeg", be2(frame + 7)).when(kind == "tiff", directory["width"])
     )
     # a negative BMP height means that rows run from the top down
     height = (
         F.when(kind == "png", u(content, 20, 4))
         .when(kind == "bmp", F.when(signed >= 1 << 31, (1 << 32) - signed).otherwise(signed))
-        .when((kind == "webp") & vp8x, u(content, 27, 3, little=True) + 1).when(kind == "jpeg", be2(frame + 5))
+        .when(extended, le(15, 3) + 1).when(lossy, low(le(16, 2))).when(lossless, low(F.shiftright(bits, 14)) + 1)
+        .when(kind == "jpeg", be2(frame + 5)).when(kind == "tiff", directory["height"])
     )
     alpha = (
         F.when(kind == "png", F.when(colour.isin(4, 6), True).when(colour.isin(0, 2, 3), False))
         .when(kind == "bmp", u(content, 28, 2, little=True) == 32)
-        .when((kind == "webp") & vp8x, u(content, 20, 1).bitwiseAND(F.lit(16)) > 0)
+        .when(extended, le(8, 1).bitwiseAND(F.lit(16)) > 0).when(lossy, False)
+        .when(lossless, F.shiftright(bits, 28).bitwiseAND(F.lit(1)) > 0)
         .when(kind == "jpeg", False).when(kind == "svg", True)
+        .when((kind == "tiff") & directory["width"].isNotNull(), directory["has_alpha"])
     )
     return F.struct(kind.alias("media_type"), width.alias("width"), height.alias("height"), alias_bool(alpha))
 

@@ -62,6 +62,35 @@ def test_sniff_of_signatures(spark):
     assert values(spark, lambda t: media.sniff(F.unhex(t)), list(cases)) == list(cases.values())
 
 
+def headers(spark, files):
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)], "k int, content binary")
+    rows = df.select("k", media.header(F.col("content")).alias("h")).orderBy("k").collect()
+    return [(r.h.media_type, r.h.width, r.h.height, r.h.has_alpha) for r in rows]
+
+
+def riff(*parts):
+    body = b"".join(tag + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) % 2) for tag, data in parts)
+    return b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body
+
+
+def test_webp_of_all_chunks_and_tiff_have_sizes(spark):
+    lossy = b"\x10\x02\x00\x9d\x01\x2a" + (640 | 1 << 14).to_bytes(2, "little") + (427 | 2 << 14).to_bytes(2, "little")
+    bits = lambda alpha: b"\x2f" + (16383 | 99 << 14 | alpha << 28).to_bytes(4, "little")
+    extended = b"\x10\0\0\0" + (69999).to_bytes(3, "little") + (4).to_bytes(3, "little")
+    tag = lambda number, kind, value: number.to_bytes(2, "big") + kind.to_bytes(2, "big") + b"\0\0\0\1" + value
+    directory = tag(256, 4, (70000).to_bytes(4, "big")) + tag(257, 3, b"\0\x09\0\0") + tag(262, 3, b"\0\2\0\0") + tag(277, 3, b"\0\4\0\0")
+    files = [
+        riff((b"VP8 ", lossy + b"data")), riff((b"VP8L", bits(1))), riff((b"VP8L", bits(0))), riff((b"VP8X", extended), (b"VP8 ", lossy)),
+        riff(*[(b"JUNK", b"odd")] * 100, (b"VP8L", bits(1))), riff((b"VP8 ", lossy.replace(b"\x9d", b"\x9c"))), riff((b"VP8L", bits(1)))[:-2], riff((b"JUNK", b"")),
+        b"MM\0\x2a\0\0\0\x08\0\4" + directory + b"\0\0\0\0", b"II\x2a\0",
+    ]
+    assert headers(spark, files) == [
+        ("webp", 640, 427, False), ("webp", 16384, 100, True), ("webp", 16384, 100, False), ("webp", 70000, 5, True),
+        ("webp", 16384, 100, True), ("webp", None, None, None), ("webp", None, None, None), ("webp", None, None, None),
+        ("tiff", 70000, 9, True), ("tiff", None, None, None),
+    ]
+
+
 def test_svg_cleaning(spark):
     found = values(spark, svg.sanitize, ['<svg><script>x</script><a href="#b" onclick="y"/></svg>', '<svg><a href="javascript:x"/></svg>', "<svg><style>a{fill:url(http://e)}</style></svg>"])
     assert found == ['<svg><a href="#b"/></svg>', "<svg><a/></svg>", "<svg><style>a{fill:url()}</style></svg>"]
