@@ -141,27 +141,25 @@ def _walk(content: Column, first: int, step: Callable[[Column, Column], Column],
     return F.aggregate(F.when(walked, steps).otherwise(none), start, block, lambda acc: acc["found"])
 
 
-def _jpeg_frame(content: Column) -> Column:
-    """Offset of the first start-of-frame marker, by walking at most 64 segments; null if there is none."""
-
-    def at(pos: Column, width: int) -> Column:
-        return F.conv(F.hex(F.substr(content, pos + 1, F.lit(width))), 16, 10).cast("long")
-
-    start = F.struct(F.lit(2).cast("long").alias("pos"), F.lit(None).cast("long").alias("frame"), F.lit(False).alias("over"))
+def _jpeg_frame(content: Column, walked: Column) -> Column:
+    """Offset of the first start-of-frame marker, by walking all segments before it; null if there is none."""
+    n = F.octet_length(content).cast("long")
 
     def step(acc: Column, _: Column) -> Column:
-        marker = at(acc["pos"] + 1, 1)
+        pos = acc["pos"]
+        marker, length = _at(content, pos + 1, 1), F.coalesce(_at(content, pos + 2, 2), F.lit(0))
+        # any number of fill bytes may stand before a marker; restarts and TEM have no length
+        fill, alone = marker == 0xFF, marker.between(0xD0, 0xD7) | (marker == 0x01)
+        ended = (pos + 2 > n) | (_at(content, pos, 1) != 0xFF) | marker.isin(0xD9, 0xDA)
+        cut = ~fill & ~alone & ((length < 2) | (pos + 2 + length > n))
         frame = marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
-        ended = acc["over"] | frame | (acc["pos"] + 4 > F.octet_length(content)) | marker.isin(0xD9, 0xDA)
-        alone = marker.between(0xD0, 0xD7) | (marker == 0x01)
-        next_pos = F.when(alone, acc["pos"] + 2).otherwise(acc["pos"] + 2 + at(acc["pos"] + 2, 2))
-        return F.struct(
-            F.when(ended, acc["pos"]).otherwise(next_pos).alias("pos"),
-            F.coalesce(acc["frame"], F.when(frame & ~acc["over"], acc["pos"])).alias("frame"),
-            F.coalesce(ended, F.lit(True)).alias("over"),
-        )
+        return F.when(acc["over"], acc).otherwise(F.struct(
+            F.when(fill, pos + 1).when(alone, pos + 2).otherwise(pos + 2 + length).alias("pos"),
+            F.when(frame & ~ended & ~cut & (length >= 7), pos).alias("found"),
+            F.coalesce(ended | cut | frame, F.lit(True)).alias("over"),
+        ))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda acc: acc["frame"])
+    return _walk(content, 2, step, walked)
 
 
 def header(content: Column) -> Column:
@@ -169,7 +167,7 @@ def header(content: Column) -> Column:
 
     def walked(file: Column, kind: Column) -> Column:
         places = F.struct(
-            _webp_chunk(file, kind == "webp").alias("chunk"), _jpeg_frame(file).alias("frame"),
+            _webp_chunk(file, kind == "webp").alias("chunk"), _jpeg_frame(file, kind == "jpeg").alias("frame"),
             tiff.header(F.when(kind == "tiff", file)).alias("directory"),
         )
         return _let(places, lambda at: _header(file, kind, at["chunk"], at["frame"], at["directory"]))

@@ -91,6 +91,20 @@ def test_webp_of_all_chunks_and_tiff_have_sizes(spark):
     ]
 
 
+def test_jpeg_frame_after_many_segments_and_fill_bytes(spark):
+    segment = lambda marker, data: bytes([0xFF, marker]) + (len(data) + 2).to_bytes(2, "big") + data
+    frame = segment(0xC2, b"\x08" + (427).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\3" + b"\0" * 9)
+    icc = segment(0xE2, b"ICC_PROFILE\0" + b"\xff" * 300)
+    files = [
+        b"\xff\xd8" + icc * 200 + frame, b"\xff\xd8" + segment(0xFE, b"") * 3000 + frame, b"\xff\xd8" + b"\xff" * 500 + frame,
+        b"\xff\xd8" + (b"\xff" * 3 + icc) * 70 + b"\xff\x01\xff\xd0" + b"\xff" * 5 + frame + b"\xff\xd9",
+        b"\xff\xd8" + segment(0xC4, b"table") + frame, b"\xff\xd8" + icc * 80 + b"\xff\xd9" + frame, b"\xff\xd8" + icc + b"\xff\xda" + frame,
+        b"\xff\xd8" + frame[:-1], b"\xff\xd8\xff" + b"\0\0\0" + frame, b"\xff\xd8\xff",
+    ]
+    good, none = ("jpeg", 640, 427, False), ("jpeg", None, None, False)
+    assert headers(spark, files) == [good] * 5 + [none] * 5
+
+
 def test_svg_cleaning(spark):
     found = values(spark, svg.sanitize, ['<svg><script>x</script><a href="#b" onclick="y"/></svg>', '<svg><a href="javascript:x"/></svg>', "<svg><style>a{fill:url(http://e)}</style></svg>"])
     assert found == ['<svg><a href="#b"/></svg>', "<svg><a/></svg>", "<svg><style>a{fill:url()}</style></svg>"]
