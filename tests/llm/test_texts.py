@@ -105,6 +105,28 @@ def test_pseudonyms_of_odd_rows(spark):
     assert out.count() == 0 and out.columns[-1] == "n_pseudonyms"
 
 
+def test_ibans_end_where_their_country_says(spark):
+    def iban(country, body):
+        code = int("".join(str(int(c, 36)) for c in body + country + "00"))
+        return f"{country}{98 - code % 97:02d}{body}"
+
+    rng = random.Random(5)
+    made = [iban(c, "".join(rng.choices("0123456789", k=n - 4))) for n, codes in pii.IBAN_SIGNS.items() for c in codes.split()]
+    made += ["BE68539007547034", "ES9121000418450200051332", "AT611904300234573201", "DE89370400440532013000", "GB82WEST12345698765432"]
+    after = ["", " IN", " A", " 2024", " 2024-01-02", " 100 EUR", " 12.50", " USD 7", " B2B", "\nABC"]
+    forms = [(" ".join(x[k : k + 4] for k in range(0, len(x), 4)) if spaced else x, tail) for x in made for tail in after for spaced in (0, 1)]
+    rows = [(k, f"PAY {x}{tail}") for k, (x, tail) in enumerate(forms)]
+    rows.append((-1, "BE68 5390 0754 7035 IN"))
+    found = {r.doc_id: r for r in pii.pseudonymize(docs(spark, rows)).collect()}
+    assert found[-1].text == rows[-1][1]
+    for k, (x, tail) in enumerate(forms):
+        new = found[k].text[4 : 4 + len(x)]
+        assert new != x and new[:2] == x[:2] and [c == " " for c in new] == [c == " " for c in x], (x, tail)
+        bare = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        assert tail == " 2024-01-02" or found[k].text[4 + len(x) :] == tail
+
+
 def test_permutations_are_one_to_one(spark):
     numbers = spark.range(1 << 10).select(pii.permute_number(F.col("id"), 10, "t").alias("v"))
     assert {r.v for r in numbers.collect()} == set(range(1 << 10))
