@@ -17,9 +17,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import table
 
@@ -180,6 +181,17 @@ def _little(ids: array) -> bytes:
     return ids.tobytes()
 
 
+def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+
+
+def _added(df: DataFrame, column: str, run) -> DataFrame:
+    """``df`` through ``run``, which adds a last column; one of that name is left out, others pass as Arrow arrays."""
+    kept = [f for f in df.schema.fields if f.name != column.split()[0]]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [column])
+    return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+
+
 def encode_texts(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``df`` with a last column ``ids``: an array of token ids of the whole text.
 
@@ -187,29 +199,27 @@ def encode_texts(df: DataFrame, text: str = "text", path: str | None = None) ->
     is replaced.
     """
     path = path or default_path()
-    kept = [f for f in df.schema.fields if f.name != "ids"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            yield batch.assign(ids=[list(bpe.encode(t)) for t in batch[text]])
+            ids = pa.array([bpe.encode(t) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+            yield _with(batch, "ids", ids)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["ids array<int>"])
-    return df.select(*(f.name for f in kept)).mapInPandas(run, schema)
+    return _added(df, "ids array<int>", run)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` with a last column ``decoded``: the text of the token ids; null ids count as none."""
     path = path or default_path()
-    kept = [f for f in df.schema.fields if f.name != "decoded"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            yield batch.assign(decoded=[bpe.decode([] if x is None else x) for x in batch[ids]])
+            decoded = [bpe.decode(x or []) for x in batch.column(ids).to_pylist()]
+            yield _with(batch, "decoded", pa.array(decoded, pa.string()))
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["decoded string"])
-    return df.select(*(f.name for f in kept)).mapInPandas(run, schema)
+    return _added(df, "decoded string", run)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -221,19 +231,21 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = codec(path), hashlib.sha256
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            counts, ids_digests, text_digests = [], [], []
+            for text in batch.column("text").to_pylist():
                 ids = bpe.encode(text)
-                decoded = bpe.decode(ids)
-                rows.append((len(ids), sha(_little(ids)).hexdigest(), sha(decoded.encode("utf-8")).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(
+                counts.append(len(ids))
+                ids_digests.append(sha(_little(ids)).hexdigest())
+                text_digests.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 

@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from .quality import held_out
 from .shared import table
 
 SIZE = 1024
+#: Characters of a text that are looked at together.
+PIECE = 1 << 20
 #: Code points are at most 21 bits long; 0 stands for everything between words.
 _BITS = 21
 
@@ -39,16 +42,31 @@ def letter_vector(code: int, size: int = SIZE) -> np.ndarray:
     return np.random.default_rng([code, 20_011]).integers(0, 2, size).astype(np.float32) * 2 - 1
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """The trigrams of a text over lower-cased letters and single gaps, packed into 63 bits each."""
-    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letters = _letters()[codes]
-    if not letters.any():
-        return np.zeros(0, np.int64)
-    codes = np.where(letters, codes, 0).astype(np.int64)
-    codes = np.r_[0, codes, 0]
-    codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
-    return (codes[:-2] << (2 * _BITS)) | (codes[1:-1] << _BITS) | codes[2:]
+def gram_counts(text: str | None, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct trigrams of a text over lower-cased letters and single gaps, packed into 63 bits each, and their counts.
+
+    A text is read in pieces, so that memory follows its distinct trigrams; the
+    last two signs of a piece go before the next.
+    """
+    lower, letters = (text or "").lower(), _letters()
+    tail, any_letter = np.zeros(1, np.int64), False
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(lower) + 1, piece):
+        codes = np.frombuffer(lower[at : at + piece].encode("utf-32-le", "surrogatepass"), "<u4")
+        known = letters[codes]
+        any_letter = any_letter or bool(known.any())
+        last = [0] if at + piece > len(lower) else []
+        codes = np.concatenate([tail, np.where(known, codes, 0).astype(np.int64), np.array(last, np.int64)])
+        codes = codes[np.r_[True, (codes[1:] != 0) | (codes[:-1] != 0)]]
+        found, n = np.unique((codes[:-2] << (2 * _BITS)) | (codes[1:-1] << _BITS) | codes[2:], return_counts=True)
+        if len(grams):
+            grams, where = np.unique(np.concatenate([grams, found]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+        else:
+            grams, counts = found, n
+        tail = codes[-2:]
+    none = np.zeros(0, np.int64)
+    return (grams, counts) if any_letter else (none, none)
 
 
 def gram_vectors(grams: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -61,10 +79,6 @@ def gram_vectors(grams: np.ndarray, size: int = SIZE) -> np.ndarray:
     return out
 
 
-def _counted(texts) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [np.unique(trigrams(t), return_counts=True) for t in texts]
-
-
 def prototypes(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
     """The prototype of each non-null ``lang`` in ``docs``, from the whole texts.
 
@@ -75,7 +89,7 @@ def prototypes(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, part in batch.groupby("lang")["text"]:
-                counted = [(g, n / n.sum()) for g, n in _counted(part) if len(g)]
+                counted = [(g, n / n.sum()) for g, n in map(gram_counts, part) if len(g)]
                 if not counted:
                     continue
                 grams, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
@@ -111,32 +125,32 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], size: int = SIZE)
     matrix = np.array([learned[x] / max(np.linalg.norm(learned[x]), 1e-12) for x in langs], np.float64).reshape(-1, size)
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                counted = _counted(part["text"])
-                profiles = np.zeros((len(part), size), np.float32)
-                rows = np.repeat(np.arange(len(part)), [len(g) for g, _ in counted])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                counted = [gram_counts(t) for t in part.column("text").to_pylist()]
+                profiles = np.zeros((len(counted), size), np.float32)
+                rows = np.repeat(np.arange(len(counted)), [len(g) for g, _ in counted])
                 grams, place = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
                 counts = np.concatenate([n for _, n in counted])
                 for k in range(0, len(grams), 2048):
                     near = (place >= k) & (place < k + 2048)
-                    block = np.zeros((len(part), min(2048, len(grams) - k)), np.float32)
+                    block = np.zeros((len(counted), min(2048, len(grams) - k)), np.float32)
                     block[rows[near], place[near] - k] = counts[near]
                     profiles += block @ gram_vectors(grams[k : k + 2048], size)
                 length = np.linalg.norm(profiles, axis=1).astype(np.float64)
                 cosine = profiles.astype(np.float64) @ known.T / np.maximum(length, 1e-12)[:, None]
                 none = np.array([len(g) == 0 for g, _ in counted]) | (len(langs) == 0)
-                best = cosine.argmax(axis=1) if len(langs) else np.zeros(len(part), int)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "lang_pred": ["und" if n else langs[b] for n, b in zip(none, best)],
-                    "score": [0.0 if n else float(min(1.0, max(0.0, c[b]))) for n, b, c in zip(none, best, cosine)],
-                })
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+                best = cosine.argmax(axis=1) if len(langs) else np.zeros(len(counted), int)
+                names = ["und" if n else langs[b] for n, b in zip(none, best)]
+                scores = [0.0 if n else float(min(1.0, max(0.0, c[b]))) for n, b, c in zip(none, best, cosine)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ from .shared import materialize, table
 LENGTH = 2048
 OPEN = 64
 #: Tasks whose leftovers are merged together: at most TASKS * OPEN windows in a group.
-TASKS = 64
+TASKS = 8
 #: White space as the vocabulary's pattern means it (fixed value), and the pattern without look-ahead.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
@@ -107,7 +107,13 @@ class Windows:
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary, leftover int"
 )
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_TYPES = {"long": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
+_ARROW = pa.schema([(name, _TYPES[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as Arrow arrays, in which a null beside a large doc_id leaves it as it is."""
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def _rows(sequence: list, sequence_id: int, leftover: int = -1) -> Iterator[tuple]:
@@ -132,14 +138,13 @@ def pack(
     """
     path = path or default_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, windows = fast_ids(path), Windows(length, most_open)
         task = TaskContext.get().partitionId()
         number, rows, held = task << 32, [], 0
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                doc_id = None if doc_id != doc_id else doc_id
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.array(tokenize(text), dtype="<u4").tobytes() + end if text else end
                 tokens = len(ids) // 4
                 whole = tokens // length * length
@@ -153,31 +158,31 @@ def pack(
                         number += 1
                 held += len(ids)
                 if held > 1 << 24:
-                    yield pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64"})
+                    if rows:
+                        yield _batch(rows)
                     rows, held = [], 0
         for k, sequence in enumerate(windows.pieces):
             rows.extend(_rows(sequence, k, task))
         if rows:
-            yield pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64"})
-
-    def merge(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["leftover", "sequence_id", "offset"])
-        number, offset, rows = (1 << 62) + (int(key[0]) << 32), 0, []
-        for doc_id, start, ids, tokens in zip(
-            pieces["doc_id"].tolist(), pieces["start"].tolist(), pieces["ids"], pieces["doc_tokens"].tolist()
-        ):
-            doc_id, at, size = None if doc_id != doc_id else doc_id, 0, len(ids) // 4
+            yield _batch(rows)
+
+    def merge(key: tuple, pieces: pa.Table) -> pa.Table:
+        pieces = pieces.sort_by([(c, "ascending") for c in ("leftover", "sequence_id", "offset")])
+        number, offset, rows = (1 << 62) + (key[0].as_py() << 32), 0, []
+        for doc_id, start, ids, tokens in zip(*(pieces.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens"))):
+            at, size = 0, len(ids) // 4
             while at < size:
                 n = min(size - at, length - offset)
                 rows.append((doc_id, start + at, n, tokens, number, offset, ids[4 * at : 4 * (at + n)], -1))
                 at, offset = at + n, offset + n
                 if offset == length:
                     number, offset = number + 1, 0
-        return pd.DataFrame(rows, columns=NAMES).astype({"doc_id": "Int64"})
+        return pa.Table.from_batches([_batch(rows)])
 
-    packed = materialize(docs.select("doc_id", "text").mapInPandas(run, SCHEMA))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    packed = materialize(rows.mapInArrow(run, SCHEMA))
     grouped = packed.where("leftover >= 0").groupBy(F.floor(F.col("leftover") / group).alias("part"))
-    merged = grouped.applyInPandas(merge, SCHEMA)
+    merged = grouped.applyInArrow(merge, SCHEMA)
     return packed.where("leftover < 0").unionByName(merged).drop("leftover")
 
 

@@ -5,29 +5,41 @@ addresses, dates and the local parts of e-mail addresses are found by one
 pattern, validated, and permuted by keyed Feistel networks within their
 format.  The permutation depends on the value alone, so equal values stay
 linked across documents, however they are punctuated; what does not validate
-stays as it is.  Values outside a format's domain are permuted again until
-they fall inside it (cycle walking), which keeps the map one to one.
+stays as it is.  Dates and social security numbers are pairs of numbers below
+two bounds whose product is the size of their domain, and the network adds
+modulo each in turn, so it is one to one without leaving the domain.
 
 All of it is DataFrame functions; a text without a digit or ``@`` is not
-looked at further, and no row is shuffled.
+looked at further, and no row is shuffled.  The pattern repeats single
+characters only, never groups without a bound, so that a text of any length
+needs no stack.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
 
-KEY = "set a secret of your own"
+#: The session's setting that holds the key.
+SETTING = "spark.imgrel.pii.key"
 ROUNDS = 8
-#: Steps of cycle walking.  The dates' domain fills 56 % of its Feistel square: what is left after 64 is 1e-22.
-WALK = 64
-FIRST_DAY, DAYS = "1800-01-01", 146_097
-
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Signs of a string that one network permutes; a longer one is permuted in blocks.
+BLOCK = 64
+#: 400 years, a whole number of weeks, as days and as two factors.
+FIRST_DAY, DAYS, DATE_BOUNDS = "1800-01-01", 146_097, (189, 773)
+#: Areas but 000, 666 and 900 to 999; groups but 00 by serials but 0000.
+SSN_BOUNDS = (898, 99 * 9999)
+
+EMAIL = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])"
+    r"[A-Za-z0-9.-]+?(?=\.\.|\.?(?![A-Za-z0-9.-]))"
+)
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
@@ -63,6 +75,20 @@ IBAN = _iban_pattern()
 FIND = "|".join((EMAIL, IPV4, DATE, SSN, CARD, PHONE, IBAN))
 
 
+@lru_cache(maxsize=None)
+def _drawn(application: str) -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting ``spark.imgrel.pii.key``.
+
+    Where there is none, one is drawn for the application and forgotten with
+    it: values are linked across all that it writes, and nobody can undo it.
+    """
+    return spark.conf.get(SETTING, None) or _drawn(spark.sparkContext.applicationId)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -93,7 +119,7 @@ def _shift(text: Column, stream: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit("")).otherwise(moved_all)
 
 
-def permute_text(text: Column, kind: str, key: str = KEY) -> Column:
+def permute_text(text: Column, kind: str | Column, key: str) -> Column:
     """A keyed permutation of strings of up to 64 digits and ASCII letters.
 
     A Feistel network over the two halves of the string; every sign stays in
@@ -107,7 +133,7 @@ def permute_text(text: Column, kind: str, key: str = KEY) -> Column:
         )
 
         def step(acc: Column, i: Column) -> Column:
-            stream = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.length(value).cast("string"), acc["b"]).cast("binary"), 512)
+            stream = F.sha2(F.concat_ws("|", F.lit(key), kind if isinstance(kind, Column) else F.lit(kind), i.cast("string"), F.length(value).cast("string"), acc["b"]).cast("binary"), 512)
             return F.struct(acc["b"].alias("a"), let(stream, lambda s: _shift(acc["a"], s)).alias("b"))
 
         return F.aggregate(
@@ -117,24 +143,27 @@ def permute_text(text: Column, kind: str, key: str = KEY) -> Column:
     return let(text, run)
 
 
-def permute_number(number: Column, bits: int, kind: str, key: str = KEY) -> Column:
-    """A keyed permutation of the integers below ``2 ** bits``; ``bits`` is even."""
-    half = 1 << (bits // 2)
-    start = F.struct((number / half).cast("long").alias("a"), (number % half).cast("long").alias("b"))
+def permute_number(number: Column, bounds: tuple[int, int], kind: str, key: str) -> Column:
+    """A keyed permutation of the integers below the product of two bounds.
 
-    def step(acc: Column, i: Column) -> Column:
-        mixed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), acc["b"].cast("string")).cast("binary"), 256)
-        return F.struct(acc["b"].alias("a"), acc["a"].bitwiseXOR(_hex_number(mixed, 1, 8) % half).alias("b"))
+    A number is a pair below them; each round adds a hash of the one to the
+    other, modulo the other's bound.
+    """
+    start = F.struct((number / F.lit(bounds[1])).cast("long").alias("a"), (number % bounds[1]).alias("b"))
 
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: acc["a"] * half + acc["b"]
-    )
+    def step(acc: Column, i: Column) -> Column:
+        def mixed(value: Column) -> Column:
+            text = F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string"))
+            return _hex_number(F.sha2(text.cast("binary"), 256), 1, 15)
 
+        even = i % 2 == 0
+        new = let(mixed(F.when(even, acc["b"]).otherwise(acc["a"])), lambda h: F.when(
+            even, F.struct(((acc["a"] + h) % bounds[0]).alias("a"), acc["b"].alias("b"))
+        ).otherwise(F.struct(acc["a"].alias("a"), ((acc["b"] + h) % bounds[1]).alias("b"))))
+        return new
 
-def _walk(value: Column, step: Callable[[Column], Column], inside: Callable[[Column], Column]) -> Column:
-    """``step`` once, and again while the value is not ``inside``."""
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)), step(value), lambda acc, _: F.when(inside(acc), acc).otherwise(step(acc))
+        F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: acc["a"] * bounds[1] + acc["b"]
     )
 
 
@@ -207,7 +236,18 @@ def _ssn_valid(digits: Column) -> Column:
 
 def _ssn(match: Column, key: str) -> Column:
     def run(digits: Column) -> Column:
-        new = _walk(digits, lambda d: permute_text(d, "ssn", key), _ssn_valid)
+        part = lambda at, n: digits.substr(F.lit(at), F.lit(n)).cast("long")
+        area, group, serial = part(1, 3), part(4, 2), part(6, 4)
+        place = area - 1 - (area > 666).cast("long")
+        number = place * SSN_BOUNDS[1] + (group - 1) * 9999 + serial - 1
+
+        def text(new: Column) -> Column:
+            place, rest = (new / SSN_BOUNDS[1]).cast("long"), new % SSN_BOUNDS[1]
+            area = place + 1 + (place >= 665).cast("long")
+            pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+            return F.concat(pad(area, 3), pad((rest / 9999).cast("long") + 1, 2), pad(rest % 9999 + 1, 4))
+
+        new = let(permute_number(number, SSN_BOUNDS, "ssn", key), text)
         return F.when(_ssn_valid(digits), _refill(match, new)).otherwise(match)
 
     return let(_digits(match), run)
@@ -227,7 +267,7 @@ def _phone(match: Column, key: str) -> Column:
 def _ipv4(match: Column, key: str) -> Column:
     def run(parts: Column) -> Column:
         number = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + p)
-        new = let(permute_number(number, 32, "ipv4", key), lambda x: F.concat_ws(
+        new = let(permute_number(number, (1 << 16, 1 << 16), "ipv4", key), lambda x: F.concat_ws(
             ".", *(F.shiftright(x, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))
         ))
         return F.when(F.forall(parts, lambda p: p < 256), new).otherwise(match)
@@ -247,9 +287,7 @@ def _date(match: Column, key: str) -> Column:
         date = F.concat_ws("-", year, month, day).try_cast("date")
         number = F.datediff(date, F.lit(FIRST_DAY).cast("date")).cast("long")
         new = let(
-            F.date_add(F.lit(FIRST_DAY).cast("date"), _walk(
-                number, lambda x: permute_number(x, 18, "date", key), lambda x: x < DAYS
-            ).cast("int")),
+            F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(number, DATE_BOUNDS, "date", key).cast("int")),
             lambda d: let(F.array(
                 F.lpad(F.year(d).cast("string"), 4, "0"), F.month(d).cast("string"), F.dayofmonth(d).cast("string")
             ), lambda ymd: F.concat(
@@ -268,11 +306,16 @@ def _padded(text: Column, like: Column) -> Column:
 
 
 def _email(match: Column, key: str) -> Column:
-    local = F.substring_index(match, "@", 1)
-    return F.concat(permute_text(local, "email", key), F.lit("@"), F.substring_index(match, "@", -1))
+    """The local part is permuted, in blocks where it is long; the domain stays."""
+    local, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
+    blocks = F.regexp_extract_all(local, F.lit(f"[^@]{{1,{BLOCK}}}"), F.lit(0))
+    new = F.array_join(F.transform(
+        blocks, lambda b, i: permute_text(b, F.concat(F.lit("email"), F.when(i == 0, "").otherwise(i.cast("string"))), key)
+    ), "")
+    return F.concat(new, F.lit("@"), domain)
 
 
-def pseudonym(match: Column, key: str = KEY) -> Column:
+def pseudonym(match: Column, key: str) -> Column:
     """The pseudonym of one match of ``FIND``; the match itself if it does not validate."""
     whole = lambda pattern: match.rlike(f"^(?:{pattern})$")
     return (
@@ -286,7 +329,7 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with its text pseudonymised and a last column ``n_pseudonyms``.
 
     Whole texts are searched.  A null text stays null and an empty one empty,
@@ -319,4 +362,4 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

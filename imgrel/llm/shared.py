@@ -4,33 +4,86 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than one in so many rows is hot; at most so many keys can be.
+HOT_SHARE = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="imgrel-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests, local mode), a temporary one is set.
+    A local session that names none gets a temporary one; on a cluster that is
+    an error, since executors would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="imgrel-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _local_dir(context.applicationId)
     return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Write to the shared folder and reread: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/imgrel-{uuid.uuid4().hex}"
+    """Write to the shared folder and reread: cuts lineage, survives lost executors.
+
+    All that an application writes lies in one folder named after it, which may
+    go when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/imgrel-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, copies: Column, share: int = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``key`` and the number of ``rows`` with it in ``copies``.
+
+    Rows of hot keys never meet in one task: their facts, at most ``share`` of
+    them whatever the input, are broadcast.  The others are joined by hash.
+    """
+    total = facts.agg(F.sum(copies)).first()[0] or 0
+    hot = F.broadcast(facts.where(copies * share > total))
+    usual = rows.join(hot.select(key), key, "left_anti").join(facts.where(copies * share <= total), key)
+    return usual.unionByName(rows.join(hot, key))
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts apart beside their doc_id: an MD5 of the bytes; null for a null text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def keep_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in ``dropped``, and with one row for each of those named in ``repeated``.
+
+    Both name rows by ``(doc_id, text_key)``, nulls included, and are written
+    tables: Spark sees their size, broadcasts them while it is below its
+    threshold, and merges sorted rows beyond.
+    """
+    taken = set(docs.columns)
+    key, other_id, other_key = (next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in ("key", "id", "other"))
+    signed = docs.withColumn(key, text_key(F.col("text")))
+    named = lambda df: df.select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key))
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & F.col(key).eqNullSafe(F.col(other_key))
+    out = signed.join(named(dropped), same, "left_anti")
+    if not repeated.isEmpty():
+        once = out.join(named(repeated), same, "left_semi").dropDuplicates(["doc_id", key])
+        out = out.join(named(repeated), same, "left_anti").unionByName(once)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +92,11 @@ def components(edges: DataFrame) -> DataFrame:
     Returns ``(node, component)`` for each node that has a link; ``component``
     is the smallest node that can be reached.  Each round hooks every node to
     the smallest of its neighbours and itself, follows these parents a few
-    steps, and contracts the graph, so hubs shrink by partial aggregation and
-    never meet in one task; the number of rounds grows with the logarithm of
-    the longest chain.  Nulls and self links are ignored.
+    steps, and contracts the graph, so hubs shrink by partial aggregation; the
+    number of rounds grows with the logarithm of the longest chain.  The joins
+    move two numbers a node, and each side that a hub repeats in meets one row
+    of it: adaptive execution splits such a partition where it grows large.
+    Nulls and self links are ignored.
     """
     edges = materialize(edges.where("a <> b").distinct())
     labels = None

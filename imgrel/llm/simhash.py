@@ -10,10 +10,14 @@ cell and, in the first two groups, into the cells one step up, so that two
 fingerprints within the budget always meet.  What meets is verified exactly.
 
 Equal fingerprints are joined once, through the smallest doc_id.  Cells hold
-distinct fingerprints; a cell with more than ``BLOCK`` of them is dealt into
-blocks, and each pair of blocks is a group of its own, so no task holds more
-than two blocks of a group.  A group returns a spanning forest of its links,
-never all pairs.
+distinct fingerprints.  A cell with more than ``HOT`` of them is split by the
+popcounts of the other groups, under what is left of the budget: of a pair in
+a cell of the first group, the second group's distance is at most 2 or the
+third's at most 1; likewise for the second; a pair that only the third group
+finds differs by 2 in both others.  What is still large is dealt into blocks
+of ``BLOCK``, and each pair of blocks is a group of its own, so no task holds
+more than two blocks of a group.  A group returns a spanning forest of its
+links, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, merge_labels, table
+from .shared import components, keep_rows, look_up, materialize, merge_labels, table, text_key
 
 BLOCK = 2048
+#: Fingerprints in a cell from which it is split, rather than dealt into blocks: a member is copied some 30 times then.
+HOT = 16 * BLOCK
 MAX_BITS = 4
 SHINGLE = 4
 #: (first two-bit segment, segments, Manhattan budget) of each group.
 GROUPS = ((0, 12, 1), (12, 12, 1), (24, 8, 0))
+#: (other group, Manhattan budget in it) by which a hot cell of each group is split.
+SPLITS = (((1, 2), (2, 1)), ((0, 2), (2, 1)), ((0, 2),))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -54,30 +63,56 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for every row; null and empty texts get fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``fp`` for every row; null and empty texts get fingerprint 0."""
+    columns = docs.select(*keep, "text")
+    schema = ", ".join(f"{n} {t}" for n, t in columns.dtypes[:-1]) + ", fp long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch["text"]), np.int64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps})
+            fps = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.int64())], [*keep, "fp"])
+
+    return columns.mapInArrow(run, schema)
+
+
+def _popcounts(fp: Column, group: int) -> Column:
+    """The bit counts of a group's segments, two bits each."""
+    first, segments, _ = GROUPS[group]
+    low = F.lit(0x5555555555555555 & ((1 << (2 * segments)) - 1))
+    bits = F.shiftrightunsigned(fp, 2 * first)
+    return bits.bitwiseAND(low) + F.shiftrightunsigned(bits, 1).bitwiseAND(low)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+
+def _reached(fp: Column, group: int, budget: int, label: int) -> list[Column]:
+    """Cells of a group such that two fingerprints within the budget always share one, marked with ``label``.
+
+    Within 1, the lower of two is put into the other's cell; within 2, both
+    are put into all cells next to their own and meet in one between.
+    """
+    own = _popcounts(fp, group) + F.lit(label << 32)
+    cells = [own]
+    for s in range(GROUPS[group][1] if budget else 0):
+        segment = F.shiftrightunsigned(own, 2 * s).bitwiseAND(F.lit(3))
+        cells.append(F.when(segment < 2, own + F.lit(1 << (2 * s))))
+        if budget > 1:
+            cells.append(F.when(segment > 0, own - F.lit(1 << (2 * s))))
+    return cells
 
 
 def _cells(fp: Column) -> Column:
     """The cells that a fingerprint is put into, as an array of longs."""
-    cells = []
-    for g, (first, segments, budget) in enumerate(GROUPS):
-        low = F.lit(0x5555555555555555 & ((1 << (2 * segments)) - 1))
-        bits = F.shiftrightunsigned(fp, 2 * first)
-        own = bits.bitwiseAND(low) + F.shiftrightunsigned(bits, 1).bitwiseAND(low) + F.lit(g << 32)
-        cells.append(own)
-        if budget:
-            for s in range(segments):
-                segment = F.shiftrightunsigned(own, 2 * s).bitwiseAND(F.lit(3))
-                cells.append(F.when(segment < 2, own + F.lit(1 << (2 * s))))
-    return F.array(*cells)
+    found = [c for g, (_, _, budget) in enumerate(GROUPS) for c in _reached(fp, g, budget, g)]
+    return F.array_compact(F.array(*found))
+
+
+def _parts(fp: Column, cell: Column) -> Column:
+    """The parts of a hot cell that a fingerprint is put into, as an array of longs."""
+    group, out = F.shiftrightunsigned(cell, 32), F.lit(None)
+    for g, splits in enumerate(SPLITS):
+        found = [c for other, budget in splits for c in _reached(fp, other, budget, 1 + other)]
+        out = F.when(group == g, F.array(*found)).otherwise(out)
+    return F.array_compact(out)
 
 
 def _links_in_groups(fps: np.ndarray, groups: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +143,7 @@ def _links_in_groups(fps: np.ndarray, groups: np.ndarray, max_bits: int) -> tupl
     return linked, labels[linked]
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Links ``(a, b)`` that join all fingerprints within ``max_bits`` of each other.
 
     ``distinct`` has one row for each fingerprint ``fp``.  The result is a
@@ -116,26 +151,32 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     """
     if max_bits > MAX_BITS:
         raise ValueError(f"the grid covers up to {MAX_BITS} differing bits")
-    cells = distinct.select("fp", F.explode(F.array_compact(_cells(F.col("fp")))).alias("cell"))
+    fp, cell = F.col("fp"), F.col("cell")
+    cells = distinct.select("fp", F.explode(_cells(fp)).alias("cell"))
     # at most 2 * 3**12 + 3**8 cells exist, whatever the input: safe to broadcast
-    large = cells.groupBy("cell").count().where(F.col("count") > block).select(
-        "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")
-    )
-    dealt = cells.join(F.broadcast(large), "cell", "left").select(
-        "cell", "fp", F.coalesce("blocks", F.lit(1)).alias("blocks")
-    ).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    large = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
+    sized = cells.join(F.broadcast(large), "cell", "left")
+    usual = sized.where(F.coalesce("size", F.lit(0)) <= hot).select("cell", F.lit(0).cast("long").alias("part"), "fp", "size")
+    split = sized.where(F.col("size") > hot).select("cell", F.explode(_parts(fp, cell)).alias("part"), "fp")
+    # no bound on these: Spark joins them by their size
+    parts = materialize(split.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block))
+    dealt = usual.unionByName(split.join(parts, ["cell", "part"], "left"))
+    blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
+    dealt = dealt.select("cell", "part", "fp", blocks.alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.select("cell", "fp", "own", other.alias("other")).select(
-        "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
+    dealt = dealt.select("cell", "part", "fp", "own", other.alias("other")).select(
+        "cell", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
     )
-    dealt = dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    group = ["cell", "part", "i", "j"]
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = rest.iloc[-1]
-            open_ = ((rest["cell"] == last["cell"]) & (rest["i"] == last["i"]) & (rest["j"] == last["j"])).to_numpy()
+            keys = rest[group].to_numpy()
+            open_ = (keys == keys[-1]).all(axis=1)
             yield from emit(rest[~open_])
             rest = rest[open_]
         if rest is not None:
@@ -144,8 +185,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     def emit(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(rows) < 2:
             return
-        cell, i, j = (rows[c].to_numpy() for c in ("cell", "i", "j"))
-        changed = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        keys = rows[group].to_numpy()
+        changed = (keys[1:] != keys[:-1]).any(axis=1)
         fps = rows["fp"].to_numpy()
         a, b = _links_in_groups(fps.view(np.uint64), np.r_[0, np.cumsum(changed)], max_bits)
         if len(a):
@@ -164,20 +205,44 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_
     else is in it.  Other columns are ignored; an empty table gives an empty one.
     """
     fps = materialize(fingerprints(docs, shingle))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(distinct.select("fp"), max_bits))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
-    named = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = materialize(member.join(named, "component").select("fp", "component_id"))
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = _names(fps, max_bits)
+    return look_up(fps, names, "fp", F.col("copies")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group, with all its columns."""
-    dropped = simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _names(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, copies, component, component_id)``, one row for each fingerprint in ``fps``."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+    found = components(links(distinct.select("fp"), max_bits))
+    member = materialize(distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "copies", "first_id", F.coalesce("component", "fp").alias("component")
+    ))
+    named = materialize(member.groupBy("component").agg(
+        F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")
+    ))
+    return materialize(look_up(member, named, "component", F.col("members")).select(
+        "fp", "copies", "component", "component_id"
+    ))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns.
+
+    The smallest doc_id stays, a null one last; of equal ones the text with
+    the smaller hash.  A row is known by its doc_id, its text's hash and
+    length: other texts under the same doc_id, or under none, are judged by
+    themselves, and rows equal in all three leave one row.  What goes is
+    joined against the rows: Spark broadcasts it while it is small.
+    """
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row_id"))
+    rows = materialize(fingerprints(rows, shingle, ("doc_id", "text_key", "row_id")))
+    grouped = materialize(look_up(rows, _names(rows, max_bits), "fp", F.col("copies")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "row_id")
+    best = materialize(grouped.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")))
+    judged = materialize(look_up(grouped, best, "component", F.col("size")).where("row_id <> best.row_id").select(
+        "doc_id", "text_key",
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & F.col("text_key").eqNullSafe(F.col("best.text_key"))).alias("same"),
+    ).distinct())
+    return keep_rows(docs, judged.where("NOT same"), judged.where("same"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,8 +97,9 @@ def test_simhash_links_all_within_four_bits(spark):
     want = groups_of(pairs, fps)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    for block in (2048, 16):
-        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, block=block).collect()]
+    # plain cells, pairs of blocks, cells split by other segments, and parts of these dealt into blocks
+    for block, hot in ((2048, 2048), (16, 9999), (8, 8), (3, 0)):
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, block=block, hot=hot).collect()]
         assert all((a ^ b).bit_count() <= 64 for a, b in edges)
         assert groups_of(edges, fps) == want
 
@@ -111,6 +112,14 @@ def test_keep_one_of_each_near_group(spark):
     assert {3} < {r.doc_id for r in kept.collect()} and 2 not in {r.doc_id for r in kept.collect()}
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "quite another text that nothing else is like"), (None, "a b c d e"), (None, "a lone text without an id, long enough"),
+            (7, None), (None, ""), (8, "the same row twice in the table"), (8, "the same row twice in the table")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], (7, None), rows[7]], key=str)
+    assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_exact_dedup_of_odd_rows(spark):
     found = exact.deduplicate(docs(spark, ODD), exact.DigestIndex(spark)).collect()
     assert len(found) == len(ODD)
@@ -137,6 +146,24 @@ def test_second_batch_is_held_against_the_index(spark, tmp_path):
     assert again.table().count() == 3
 
 
+def test_a_batch_may_be_given_again(spark, tmp_path):
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    rows = docs(spark, [(1, "a b"), (2, "ab"), (None, "c"), (None, "c"), (3, None), (3, ""), (3, "q")])
+    first = sorted(map(str, exact.keep_first(rows, index, "monday").collect()))
+    assert len(first) == 4 and sorted(map(str, exact.keep_first(rows, index, "monday").collect())) == first
+    assert index.table().count() == 4
+    # a job that was lost after half of its batch had been appended
+    other = docs(spark, [(9, "x"), (10, "y"), (11, "c")])
+    exact.deduplicate(other.where("doc_id = 9"), index, "tuesday")
+    assert sorted(r.doc_id for r in exact.keep_first(other, index, "tuesday").collect()) == [9, 10]
+    assert exact.keep_first(rows, index, "wednesday").count() == 0
+    index.compact()
+    again = exact.DigestIndex(spark, str(tmp_path / "index"))
+    assert again.buckets == 4 and again.table().count() == 6 and len(again.table().inputFiles()) <= 4
+    assert sorted(map(str, exact.keep_first(rows, again, "monday").collect())) == first
+    assert exact.keep_first(other, again, "thursday").count() == 0
+
+
 def slow_chunks(text, window=lines.WINDOW, mean=lines.MEAN_LINES):
     rows = text.split("\n")
     signed = lambda h: h - (1 << 64) if h >> 63 else h

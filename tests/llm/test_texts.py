@@ -78,7 +78,7 @@ def luhn(text):
 
 def masked(spark, texts):
     rows = [(k, t, 99) for k, t in enumerate(texts)]
-    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, n_pseudonyms int"))
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, n_pseudonyms int"), "a key")
     return [(r.text, r.n_pseudonyms) for r in out.orderBy("doc_id").collect()]
 
 
@@ -101,7 +101,7 @@ def test_pseudonyms_of_odd_rows(spark):
     found = masked(spark, [None, "", "no numbers", "5 and 12345", "x 1.2.3 y", "4041894974608795 " * 20_000])
     assert found[:5] == [(None, 0), ("", 0), ("no numbers", 0), ("5 and 12345", 0), ("x 1.2.3 y", 0)]
     assert found[5][1] == 20_000 and len(set(found[5][0].split())) == 1
-    out = pii.pseudonymize(docs(spark, []))
+    out = pii.pseudonymize(docs(spark, []), "a key")
     assert out.count() == 0 and out.columns[-1] == "n_pseudonyms"
 
 
@@ -117,7 +117,7 @@ def test_ibans_end_where_their_country_says(spark):
     forms = [(" ".join(x[k : k + 4] for k in range(0, len(x), 4)) if spaced else x, tail) for x in made for tail in after for spaced in (0, 1)]
     rows = [(k, f"PAY {x}{tail}") for k, (x, tail) in enumerate(forms)]
     rows.append((-1, "BE68 5390 0754 7035 IN"))
-    found = {r.doc_id: r for r in pii.pseudonymize(docs(spark, rows)).collect()}
+    found = {r.doc_id: r for r in pii.pseudonymize(docs(spark, rows), "a key").collect()}
     assert found[-1].text == rows[-1][1]
     for k, (x, tail) in enumerate(forms):
         new = found[k].text[4 : 4 + len(x)]
@@ -128,14 +128,25 @@ def test_ibans_end_where_their_country_says(spark):
 
 
 def test_permutations_are_one_to_one(spark):
-    numbers = spark.range(1 << 10).select(pii.permute_number(F.col("id"), 10, "t").alias("v"))
-    assert {r.v for r in numbers.collect()} == set(range(1 << 10))
-    texts = spark.range(1000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), "t").alias("v"))
+    for bounds in ((32, 32), (7, 13), (1, 9), pii.DATE_BOUNDS):
+        n = bounds[0] * bounds[1]
+        numbers = spark.range(n).select(pii.permute_number(F.col("id"), bounds, "t", "key").alias("v"))
+        assert {r.v for r in numbers.collect()} == set(range(n))
+    three = F.lpad(F.col("id").cast("string"), 3, "0")
+    texts = spark.range(1000).select(pii.permute_text(three, "t", "key").alias("v"))
     assert len({r.v for r in texts.collect()}) == 1000
-    other = spark.range(1000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), "t", "other key").alias("v"))
+    other = spark.range(1000).select(pii.permute_text(three, "t", "other key").alias("v"))
     assert [r.v for r in other.collect()] != [r.v for r in texts.collect()]
 
 
+def test_the_key_is_the_session_s_own(spark):
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.SETTING, "mine")
+    assert pii.session_key(spark) == "mine"
+    spark.conf.unset(pii.SETTING)
+
+
 def test_classifier_learns_junk_and_keeps_clean_texts(spark, sf_dir):
     found = quality.op3_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
@@ -156,6 +167,64 @@ def test_classifier_on_odd_rows(spark):
     assert quality.good(docs(spark, ODD), labels).columns == docs(spark, ODD).columns
 
 
+def test_scores_depend_on_words(spark):
+    """A mashed text scores below its original, and so do most shuffled ones."""
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, shapes, rng = quality.train(table, labels), quality.Shapes(), random.Random(1)
+    texts = [r.text for r in table.join(labels, "doc_id").where("quality = 1").orderBy("doc_id").select("text").collect()]
+    mashed, shuffled = [], []
+    for text in (t for t in texts if len((t or "").split()) >= 30):
+        words, score = text.split(), model.score(shapes.features(text))
+        rng.shuffle(words)
+        mashed.append(model.score(shapes.features(re.sub("[A-Za-z]", lambda m: rng.choice("abcdefghijklmnopqrstuvwxyz"), text))) < score)
+        shuffled.append(model.score(shapes.features(" ".join(words))) < score)
+    assert np.mean(mashed) > 0.95 and np.mean(shuffled) > 0.8
+
+
+def slow_features(text, bits=quality.BITS):
+    """The indicators again, n-gram by n-gram over the whole text."""
+    full, raw = (1 << 64) - 1, (text or "").encode()
+
+    def place(gram, kind):
+        x = (gram + kind * 0xD1B54A32D192ED03) * 0x9E3779B97F4A7C15 & full
+        return ((x ^ x >> 29) * 0x9E3779B97F4A7C15 & full) >> (64 - bits)
+
+    def shape(word):
+        signs = [b"a" if c >= 128 or 97 <= c <= 122 else b"A" if 65 <= c <= 90 else b"0" if 48 <= c <= 57 else bytes([c]) for c in word]
+        return b"".join(s for k, s in enumerate(signs) if not (k and s == signs[k - 1] and s in (b"a", b"A", b"0")))
+
+    words, out = raw.split(), set()
+    shapes = [b"\x00same" if k and w == words[k - 1] else shape(w) for k, w in enumerate(words)]
+    for tokens, orders, kind in ((shapes, 4, 10), ([w.lower() for w in words], 2, 20)):
+        ids = [zlib.crc32(t) + 1 for t in tokens]
+        for n in range(1, orders + 1):
+            for k in range(len(ids) - n + 1):
+                gram = 0
+                for x in ids[k : k + n]:
+                    gram = gram * 0x100000001B3 + x & full
+                out.add(place(gram, kind + n))
+    low = raw.lower()
+    out |= {place(int.from_bytes(low[k : k + 4]), 0) for k in range(len(low) - 3)}
+    return sorted(out)
+
+
+def test_features_are_brute_force(spark, monkeypatch):
+    texts = [t for _, t in ODD] + TEXTS + ["One two TWO two 22 3a! " * 40, "é" * 90 + " \n\n b"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    for piece in (1 << 20, 64):  # in one piece and in many
+        monkeypatch.setattr(quality, "PIECE", piece)
+        for text in texts:
+            if len(text or "") < 50_000:
+                assert quality.Shapes().features(text).tolist() == slow_features(text), (piece, text and text[:50])
+
+
+def test_fit_is_bounded_by_indicators(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rows = docs(spark, [(k, "good words here" if k % 2 else "!!! ###") for k in range(40)])
+    all_rows, few, none = (quality.train(rows, labels, max_features=n) for n in (10**6, 200, 0))
+    assert all_rows.weights.any() and few.weights.any() and not none.weights.any()
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 8) + 40 * (k % 2)) for k in range(60)]
@@ -183,11 +252,57 @@ def test_languages_of_odd_rows(spark):
 
 
 def test_bound_vectors_are_rolled_products():
-    grams = langid.trigrams("Ab c")
-    vectors = langid.gram_vectors(grams)
+    grams, _ = langid.gram_counts("Ab c")
+    vectors = {tuple(g >> 21 * k & 0x1FFFFF for k in (2, 1, 0)): v for g, v in zip(grams.tolist(), langid.gram_vectors(grams))}
     a, b = (langid.letter_vector(ord(c)) for c in "ab")
     gap = langid.letter_vector(0)
-    assert (vectors[0] == np.roll(gap, 2) * np.roll(a, 1) * b).all()
+    assert len(grams) == 4 and (vectors[0, ord("a"), ord("b")] == np.roll(gap, 2) * np.roll(a, 1) * b).all()
+
+
+def slow_counts(text):
+    """Trigrams again, sign by sign."""
+    signs = [0]
+    for c in (text or "").lower():
+        code = ord(c) if c.isalpha() else 0
+        if code or signs[-1]:
+            signs.append(code)
+    if signs[-1]:
+        signs.append(0)
+    out = {}
+    for k in range(len(signs) - 2):
+        key = signs[k] << 42 | signs[k + 1] << 21 | signs[k + 2]
+        out[key] = out.get(key, 0) + 1
+    return out if any(signs) else {}
+
+
+def test_identification_is_brute_force(spark):
+    rng, alphabet = random.Random(4), "ab é1 \n中Ω"
+    texts = [None, "", "1 2", "ab", " a ", "Straße 12 ÄÖ"] + ["".join(rng.choices(alphabet, k=n)) for n in (1, 2, 3, 63, 64, 65, 500)]
+    for text in texts:
+        for piece in (1 << 20, 64, 3, 1):
+            grams, counts = langid.gram_counts(text, piece)
+            assert dict(zip(grams.tolist(), counts.tolist())) == slow_counts(text), (text, piece)
+    learn = [("aa", "ab ab é"), ("bb", "中中 Ω"), ("aa", "b é é"), (None, "x"), ("bb", None)]
+    learned = langid.prototypes(spark.createDataFrame([(lang, t) for lang, t in learn], "lang string, text string"))
+
+    def vector(key):
+        letters = [langid.letter_vector(key >> 21 * k & 0x1FFFFF) for k in (0, 1, 2)]
+        return np.roll(letters[2], 2) * np.roll(letters[1], 1) * letters[0]
+
+    def profile(text):
+        return sum((n * vector(k).astype(float) for k, n in slow_counts(text).items()), np.zeros(langid.SIZE))
+
+    for lang in ("aa", "bb"):
+        want = sum(profile(t) / sum(slow_counts(t).values()) for x, t in learn if x == lang and t)
+        assert np.allclose(learned[lang], want, atol=1e-4)
+    found = {r.doc_id: r for r in langid.identify(docs(spark, list(enumerate(texts))), learned).collect()}
+    for k, text in enumerate(texts):
+        own = profile(text)
+        if not own.any():
+            assert found[k].lang_pred == "und"
+            continue
+        near = {x: own @ v / np.linalg.norm(own) / np.linalg.norm(v) for x, v in learned.items()}
+        assert abs(found[k].score - max(0, max(near.values()))) < 1e-4 and near[found[k].lang_pred] > max(near.values()) - 1e-4
 
 
 def turns(spark, rows):
@@ -207,3 +322,18 @@ def test_chats_collapse_to_the_longest(spark):
     assert found[5].text == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nother<|im_end|>\n"
     assert found[6].text == "<|im_start|>user\n<|im_end|>\n"
     assert chat.format_chats(turns(spark, [])).count() == 0
+
+
+def test_chats_without_an_id_are_single_turns(spark):
+    rows = [(None, 0, "user", "n"), (None, 3, "user", "n"), (None, 0, None, ""), (None, None, None, None), (5, 1, "user", "p"), (6, 0, "user", "p"), (6, 1, "a", "b"), (None, 0, "user", "p")]
+    found = sorted(((r.conv_id, r.n_turns, r.n_copies, r.text) for r in chat.format_chats(turns(spark, rows)).collect()), key=str)
+    one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert found == sorted([(6, 2, 1, one("user", "p") + one("a", "b")), (None, 1, 2, one("user", "n")), (None, 1, 1, one("", "")), (None, 1, 1, one("", ""))], key=str)
+
+
+def test_a_very_long_conversation(spark):
+    columns = ["doc_id % 2 AS conv_id", "doc_id AS turn", "'user' AS role", "CAST(doc_id AS STRING) AS text"]
+    both = spark.range(60_000).withColumnRenamed("id", "doc_id").selectExpr(*columns)
+    start = both.where("conv_id = 0 AND turn < 20000").withColumn("conv_id", F.lit(7).cast("long"))
+    found = {r.conv_id: r.n_turns for r in chat.format_chats(both.unionByName(start)).select("conv_id", "n_turns").collect()}
+    assert found == {0: 30_000, 1: 30_000}
