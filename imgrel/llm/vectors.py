@@ -10,9 +10,15 @@ budget reaches.  Candidates are verified by their exact cosine in the task
 that finds them, and a pair counts only in the first block whose budget it
 keeps, so the union needs no distinct.
 
-Equal vectors are joined once.  Cells with more than ``MAX_HOMES`` vectors are
-dealt into parts; a task holds the home vectors of one part and streams the
-rest past them.  It returns sums of links and a spanning forest, not pairs.
+Equal vectors are joined once.  A cell with more than ``MAX_HOMES`` vectors is
+split by a second grid over the block's other coordinates, under what a vector
+has left of the budget there.  What is still large is dealt into parts; a task
+holds the home vectors of one part and streams the rest past them.  It returns
+sums of links and a spanning forest, not pairs.
+
+Vectors travel whole: ids and coordinates would do for the grid, but then every
+pair that a block lets pass would have to be sent to where its vectors are,
+and in a group of near copies these are all pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, materialize, merge_labels, table
+from .shared import components, look_up, materialize, merge_labels, table
 
 COSINE = 0.95
 BLOCK_DIMS, GRID_DIMS = 8, 5
@@ -52,6 +58,10 @@ class Subspaces:
         self.steps = np.array(steps, np.int64).reshape(-1, self.grid)
         self.below = (self.steps == -1).astype(float)
         self.above = (self.steps == 1).astype(float)
+        # of the second grid all neighbours, the cell itself first
+        steps = sorted(product((-1, 0, 1), repeat=self.dims - self.grid), key=any)
+        self.fine_steps = np.array(steps, np.int64).reshape(len(steps), self.dims - self.grid)
+        self.fine_later = np.array([s >= (0,) * len(s) for s in steps])
 
     def units(self, vectors: np.ndarray) -> np.ndarray:
         vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -87,15 +97,43 @@ class Subspaces:
             rows, which = np.nonzero(down @ self.below.T + up @ self.above.T <= self.budget + 1e-9)
             yield rows, code | ((cell[rows] + self.steps[which] + 64) << places).sum(axis=1), False
 
+    def fine(self, rotated: np.ndarray, block: int) -> np.ndarray:
+        """The home cells of the second grid over the rest of a block."""
+        at = rotated[:, block * self.dims + self.grid : (block + 1) * self.dims]
+        return ((np.floor(at / self.side).astype(np.int64) + 64) << (_FIELD * np.arange(at.shape[1]))).sum(axis=1)
+
+    def split(self, rotated: np.ndarray, keys: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(rows, fine cells, home)`` of rows in hot cells.
+
+        Of two home vectors the earlier one's is copied to the later one's
+        fine cell; a copy goes to all that its budget still reaches.
+        """
+        blocks = (keys >> 35) & 0xFFF
+        for block in np.unique(blocks):
+            own = np.flatnonzero(blocks == block)
+            at = rotated[own, block * self.dims : (block + 1) * self.dims]
+            near, rest = at[:, : self.grid], at[:, self.grid :]
+            low = (((keys[own, None] >> (_FIELD * np.arange(self.grid))) & 127) - 64) * self.side
+            spent = np.square(np.maximum(np.maximum(low - near, near - low - self.side), 0)).sum(axis=1)
+            cell = np.floor(rest / self.side).astype(np.int64)
+            down, up = np.square(rest - cell * self.side), np.square((cell + 1) * self.side - rest)
+            cost = down @ (self.fine_steps == -1).T.astype(float) + up @ (self.fine_steps == 1).T.astype(float)
+            reached = (cost + spent[:, None] <= self.budget + 1e-9) & (self.fine_later | ~home[own, None])
+            reached[:, 0] |= home[own]
+            rows, which = np.nonzero(reached)
+            codes = ((cell[rows] + self.fine_steps[which] + 64) << (_FIELD * np.arange(rest.shape[1]))).sum(axis=1)
+            yield own[rows], codes, home[own[rows]] & (which == 0)
+
     def links(self, a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, block: int, cosine: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions of linked pairs whose first block within budget is ``block``; ``same``: b is a, each pair once."""
         part = slice(block * self.dims, (block + 1) * self.dims)
-        pa, pb = ra[:, part], rb[:, part]
+        # in single precision, whose error the margin below covers; what passes is looked at in double
+        pa, pb = ra[:, part].astype(np.float32), rb[:, part].astype(np.float32)
         sa, sb = (pa * pa).sum(axis=1), (pb * pb).sum(axis=1)
         for i in range(0, len(a), 256):
             for j in range(i if same else 0, len(b), 2048):
                 near = sa[i : i + 256, None] + sb[None, j : j + 2048] - 2 * (pa[i : i + 256] @ pb[j : j + 2048].T)
-                x, y = np.nonzero(near <= self.budget + 1e-6)
+                x, y = np.nonzero(near <= np.float32(self.budget + 2e-5))
                 x, y = x + i, y + j
                 if same:
                     x, y = x[x < y], y[x < y]
@@ -165,54 +203,72 @@ def _links(classes: DataFrame, cosine: float, max_homes: int) -> DataFrame:
     """``(a, b, links)``: a is linked to b (or is b), and has so many more links."""
     kind = "<f4" if dict(classes.dtypes)["embedding"] == "array<float>" else "<f8"
 
-    def spread(batches: Iterator[pd.DataFrame], homes_only: bool) -> Iterator[pd.DataFrame]:
+    def space_of(spaces: dict[int, Subspaces], length: int) -> Subspaces:
+        return spaces[length] if length in spaces else spaces.setdefault(length, Subspaces(int(length), cosine))
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spaces: dict[int, Subspaces] = {}
+        for batch in batches:
+            for length, part in batch.groupby(batch["embedding"].map(len)):
+                space = space_of(spaces, length)
+                rotated = space.rotate(space.units(np.stack(part["embedding"].to_numpy()).astype(np.float64)))
+                for block, (_, keys, _) in enumerate(space.cells(rotated, homes_only=True)):
+                    yield pd.DataFrame({"key": keys, "fine": space.fine(rotated, block)})
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces: dict[int, Subspaces] = {}
         for batch in batches:
-            lengths = batch["embedding"].map(len)
-            for length, part in batch.groupby(lengths):
-                space = spaces.setdefault(length, Subspaces(int(length), cosine))
+            for length, part in batch.groupby(batch["embedding"].map(len)):
+                space = space_of(spaces, length)
                 vectors = np.stack(part["embedding"].to_numpy())
-                rotated = space.rotate(space.units(vectors.astype(np.float64)))
                 packed = np.array([v.tobytes() for v in vectors.astype(kind)], object)
                 ids, counts = part["class_id"].to_numpy(), part["copies"].to_numpy()
-                for rows, keys, home in space.cells(rotated, homes_only):
-                    if homes_only:
-                        yield pd.DataFrame({"key": keys})
-                    elif len(rows):
-                        yield pd.DataFrame({
-                            "key": keys, "home": home, "class_id": ids[rows], "copies": counts[rows], "vector": packed[rows],
-                        })
-
-    homes = classes.mapInPandas(lambda b: spread(b, True), "key long")
-    # the grid has a fixed number of cells for a length: side and coordinates are bounded
-    large = homes.groupBy("key").count().where(F.col("count") > max_homes).select(
-        "key", F.ceil(F.col("count") / max_homes).cast("int").alias("parts")
-    )
-    cells = classes.mapInPandas(
-        lambda b: spread(b, False), "key long, home boolean, class_id long, copies long, vector binary"
-    )
-    parts = cells.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+                for rows, keys, home in space.cells(space.rotate(space.units(vectors.astype(np.float64)))):
+                    if len(rows):
+                        yield pd.DataFrame({"key": keys, "home": home, "class_id": ids[rows], "copies": counts[rows], "vector": packed[rows]})
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spaces: dict[int, Subspaces] = {}
+        for batch in batches:
+            for length, part in batch.groupby(batch["key"] // (1 << 47)):
+                space = space_of(spaces, length)
+                raw = np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1).astype(np.float64)
+                for rows, fine, home in space.split(space.rotate(space.units(raw)), part["key"].to_numpy(), part["home"].to_numpy()):
+                    yield part.iloc[rows].assign(fine=fine, home=home)
+
+    # Spark broadcasts these two while they are small: a row stands for more than max_homes vectors in a block
+    sizes = materialize(classes.mapInPandas(homes, "key long, fine long").groupBy("key", "fine").agg(F.count(F.lit(1)).alias("n")))
+    hot = materialize(sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > max_homes).select("key", F.lit(True).alias("hot")))
+    large = materialize(sizes.join(hot, "key").where(F.col("n") > max_homes).select(
+        "key", "fine", F.ceil(F.col("n") / max_homes).cast("int").alias("parts")
+    ))
+    row = "class_id long, copies long, vector binary"
+    cells = classes.mapInPandas(spread, f"key long, home boolean, {row}").join(hot, "key", "left")
+    usual = cells.where("hot IS NULL").withColumn("fine", F.lit(0).cast("long")).drop("hot")
+    fine = cells.where("hot").drop("hot").mapInPandas(split, f"key long, home boolean, {row}, fine long")
+    fine = fine.join(large, ["key", "fine"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    parts = usual.withColumn("parts", F.lit(1)).unionByName(fine)
     parts = parts.withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64("class_id"), F.col("parts"))).cast("int"))
     dealt = parts.select(
-        "key", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("parts") - 1)).alias("part"),
+        "key", "fine", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("parts") - 1)).alias("part"),
         "own", "class_id", "copies", "vector",
     ).select(
-        "key", "part", F.when(F.col("own") == F.col("part"), 0).otherwise(1).alias("other"), "class_id", "copies", "vector"
+        "key", "fine", "part", F.when(F.col("own") == F.col("part"), 0).otherwise(1).alias("other"), "class_id", "copies", "vector"
     )
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "other")
+    dealt = dealt.repartition("key", "fine", "part").sortWithinPartitions("key", "fine", "part", "other")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces: dict[int, Subspaces] = {}
         group, at, out = None, None, []
         for batch in batches:
-            key, part, other = (batch[c].to_numpy() for c in ("key", "part", "other"))
+            key, fine, part, other = (batch[c].to_numpy() for c in ("key", "fine", "part", "other"))
             ids, counts, vectors = batch["class_id"].to_numpy(), batch["copies"].to_numpy(), batch["vector"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])])
+            starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in (key, fine, part, other)], axis=0)])
             for start, end in zip(starts, np.r_[starts[1:], len(batch)]):
-                if at != (key[start], part[start]):
+                if at != (key[start], fine[start], part[start]):
                     if group:
                         group.finish(out)
-                    at, group = (key[start], part[start]), _Group(int(key[start]), cosine, spaces)
+                    at, group = (key[start], fine[start], part[start]), _Group(int(key[start]), cosine, spaces)
                 raw = np.frombuffer(b"".join(vectors[start:end]), kind).reshape(end - start, -1).astype(np.float64)
                 rows = ids[start:end], counts[start:end], group.space.units(raw)
                 if other[start]:
@@ -254,18 +310,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, max_homes: int = MA
     labels = components(found.select("a", "b")).withColumnRenamed("node", "class_id")
     facts = materialize(
         classes.join(sums, "class_id", "left").join(labels, "class_id", "left").select(
-            "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            "embedding", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
             F.coalesce("component", "class_id").alias("component_id"),
         )
     )
-    linked = good.join(facts, "embedding").select("vec_id", "n_links", "component_id")
+    linked = look_up(good, facts, "embedding", F.col("copies")).select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
 def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select(
-        "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")
+        "vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
