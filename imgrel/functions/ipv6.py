@@ -2,44 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .urls import DENIED, address, within
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def digits(text: Column) -> Column:
     """The 32 hexadecimal digits of a literal, a dotted tail included; null if the text is none."""
-    text = F.lower(text)
-    tail = F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+){3})$", 1)
-    number = address(tail)
-    dotted = F.concat(
-        F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number % 65536))
-    )
-    plain = F.when(tail == "", text).otherwise(dotted)
-    halves = F.split(plain, "::", -1)
-    groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, k), F.lit("")), ":"), lambda g: g != "")
-    missing = 8 - F.size(groups(0)) - F.size(groups(1))
-    full = F.concat(groups(0), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups(1))
-    valid = (
-        (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
-        & ~plain.rlike("^:[^:]|[^:]:$|:::") & F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    )
-    return F.when(valid, F.array_join(F.transform(full, lambda g: F.lpad(g, 4, "0")), ""))
 
+    def plain(parts: Column) -> Column:
+        """With the dotted tail as two groups."""
+        text, tail = parts["text"], parts["tail"]
+        return _let(address(tail), lambda number: F.when(tail == "", text).otherwise(F.concat(
+            F.substr(text, F.lit(1), F.length(text) - F.length(tail)), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number % 65536))
+        )))
 
-def is_denied(text: Column) -> Column:
-    """Whether a literal is local, reserved, or carries an IPv4 address that is denied; false for anything else."""
-    d = digits(text)
+    def padded(text: Column) -> Column:
+        def run(halves: Column) -> Column:
+            groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, k), F.lit("")), ":"), lambda g: g != "")
+            sides = F.struct(groups(0).alias("a"), groups(1).alias("b"))
+
+            def fill(x: Column) -> Column:
+                missing = 8 - F.size(x["a"]) - F.size(x["b"])
+                full = F.concat(x["a"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["b"])
+                valid = (
+                    (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
+                    & ~text.rlike("^:[^:]|[^:]:$|:::")
+                )
+                return _let(full, lambda f: F.when(
+                    valid & F.forall(f, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(f, lambda g: F.lpad(g, 4, "0")), "")
+                ))
+
+            return _let(sides, fill)
+
+        return _let(F.split(text, "::", -1), run)
+
+    parts = F.struct(F.lower(text).alias("text"), F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+){3})$", 1).alias("tail"))
+    return _let(parts, lambda p: _let(plain(p), padded))
+
+
+def denied_digits(d: Column) -> Column:
+    """Whether an address of 32 digits is local, reserved, or carries an IPv4 address that is denied; null for null."""
 
     def carried(at: int) -> Column:
-        number, out = F.conv(F.substring(d, at, 8), 16, 10).cast("long"), F.lit(False)
-        for base, bits in DENIED:
-            out = out | within(number, base, bits)
-        return out
+        def run(number: Column) -> Column:
+            out = F.lit(False)
+            for base, bits in DENIED:
+                out = out | within(number, base, bits)
+            return out
 
-    found = (
+        return _let(F.conv(F.substring(d, at, 8), 16, 10).cast("long"), run)
+
+    return (
         F.when(d.rlike("^(0{31}[01]|ff.*)$"), True).when(d.rlike("^0{20}(ffff|0000)"), carried(25)).when(d.rlike("^2002"), carried(5))
         .otherwise(d.rlike("^(20010000|20010db8|f[cd]|fe[89ab])"))
     )
-    return F.coalesce(found, F.lit(False))
+
+
+def is_denied(text: Column) -> Column:
+    """As ``denied_digits`` of a literal; false for anything that is none."""
+    return F.coalesce(_let(digits(text), denied_digits), F.lit(False))

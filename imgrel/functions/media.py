@@ -80,23 +80,55 @@ def starts(content: Column, hex_bytes: str, at: int = 0) -> Column:
 
 
 def sniff(content: Column) -> Column:
-    """The media type by signature, in the fixed order of probes; null if none matches."""
+    """The media type by signature, in the fixed order of probes; null if none matches.
+
+    Only what no binary signature names is looked at as text, in an array of
+    at most one element, so that other files are not decoded.
+    """
     brand = F.hex(F.substring(content, 9, 4)).isin("61766966", "61766973")
-    text = F.try_to_binary(F.hex(content), F.lit("hex")).cast("string")
-    return (
+    known = (
         F.when(starts(content, "89504E470D0A1A0A"), "png")
         .when(starts(content, "FFD8FF"), "jpeg")
         .when(starts(content, "52494646") & starts(content, "57454250", 8), "webp")
-        .when(starts(content, "66747970", 4) & brand, "avif")
+        .when(starts(content, "66747970", 4) & (brand | _compatible_brand(content)), "avif")
         .when(starts(content, "424D") & (F.octet_length(content) >= 26), "bmp")
         .when(starts(content, "49492A00") | starts(content, "4D4D002A"), "tiff")
-        .when(is_svg(text), "svg")
     )
+    # the first sign that is neither white space nor of a byte order mark
+    marked = F.hex(F.substring(content, 1, 64)).rlike("^(?:EFBBBF)?(?:09|0A|0B|0C|0D|20|C2A0|C285)*+(?:3C|$)")
+    texts = F.when(known.isNull() & marked & F.is_valid_utf8(content.cast("string")), F.array(content.cast("string")))
+    svg = F.exists(texts, lambda t: is_svg(t))
+    return F.coalesce(known, F.when(svg, F.lit("svg")))
+
+
+def _compatible_brand(content: Column) -> Column:
+    """Whether the first box lists avif or avis among the brands that it is compatible with."""
+    size = F.conv(F.hex(F.substring(content, 1, 4)), 16, 10).cast("long")
+    last = F.least(size, F.octet_length(content).cast("long")).cast("int") - 3
+    places = F.when(last >= 17, F.sequence(F.lit(17), last, F.lit(4)))
+    return F.coalesce(F.exists(places, lambda k: F.hex(F.substr(content, k, F.lit(4))).isin("61766966", "61766973")), F.lit(False))
 
 
 def is_svg(text: Column) -> Column:
-    """A BOM, a declaration, a doctype and comments may stand before ``<svg`` and a separator."""
-    return text.rlike(r"(?is)^\x{FEFF}?\s*(<\?xml.*?\?>\s*)?(<!DOCTYPE[^>]*>\s*)?(<!--.*?-->\s*)*<svg[ \t\n\r>]")
+    """A BOM, a declaration, a doctype and comments may stand before ``<svg`` and a separator.
+
+    What stands before is replaced away one kind after another, so that no
+    pattern repeats a group: however many comments there are, no stack grows.
+    """
+    head = F.regexp_replace(F.regexp_replace(text, r"^\x{FEFF}", ""), r"^\s++", "")
+    head = F.regexp_replace(F.when(F.lower(F.substring(head, 1, 5)) == "<?xml", _after(head, "?>")).otherwise(head), r"^\s++", "")
+    head = F.regexp_replace(head, r"(?i)^<!DOCTYPE[^>]*+>\s*+", "")
+    # comments: all up to the first opening that is none
+    rest = F.split(head, "-->", -1)
+    plain = F.filter(rest, lambda piece: ~F.regexp_replace(piece, r"^\s++", "").startswith("<!--"))
+    first = F.regexp_replace(F.coalesce(F.get(plain, 0), F.lit("")), r"^\s++", "")
+    return F.coalesce(first.rlike(r"(?i)^<svg[ \t\n\r>]"), F.lit(False))
+
+
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``; nothing if it is not there."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substr(text, at + len(mark))).otherwise(F.lit(""))
 
 
 def _at(content: Column, pos: Column, width: int, little: bool = False) -> Column:

@@ -42,19 +42,74 @@ def is_denied(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def host_address(host: Column) -> Column:
+    """The IPv4 address that browsers read in a host, as a number; -1 if it has the form of one but is none; else null.
+
+    The last label decides: a number in decimal, octal or hexadecimal makes
+    all labels numbers, of which the last fills the bytes that are left.
+    """
+    labels = F.split(host, r"\.", -1)
+    last = F.element_at(labels, -1)
+
+    def number(label: Column) -> Column:
+        digits = F.when(label.rlike("^0x"), F.regexp_replace(label, "^0x0*", "")).otherwise(F.regexp_replace(label, "^0+", ""))
+        value = (
+            F.when(~label.rlike("^(0x[0-9a-f]*|0[0-7]*|[1-9][0-9]*)$") | (F.length(digits) > 12), F.lit(None))
+            .when(digits == "", "0").when(label.rlike("^0x"), F.conv(digits, 16, 10)).when(label.rlike("^0"), F.conv(digits, 8, 10)).otherwise(digits)
+        )
+        return value.cast("long")
+
+    def whole(numbers: Column) -> Column:
+        n = F.size(numbers)
+        before = F.slice(numbers, 1, n - 1)
+        left = F.element_at(F.array(*(F.lit(1 << (8 * k)) for k in (4, 3, 2, 1))), n)
+        total = F.aggregate(before, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x) * left + F.element_at(numbers, -1)
+        good = F.forall(before, lambda x: x < 256) & (F.element_at(numbers, -1) < left)
+        return F.when(F.coalesce(good, F.lit(False)), total).otherwise(F.lit(-1).cast("long"))
+
+    numbers = F.transform(labels, number)
+    found = F.when(F.size(labels) > 4, F.lit(-1).cast("long")).otherwise(F.element_at(F.transform(F.array(numbers), whole), 1))
+    return F.when(last.rlike("^([0-9]+|0x[0-9a-f]*)$"), found)
+
+
 def url_status(url: Column) -> Column:
-    """The status that the policy gives a URL; names are not resolved."""
-    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    authority = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?([^:]*)", 1))
-    port = F.regexp_extract(authority, r":([0-9]+)$", 1).try_cast("int")
-    port = F.coalesce(port, F.when(scheme == "https", 443).otherwise(80))
-    return (
-        F.when(~scheme.isin("http", "https"), 400).when(F.instr(authority, "@") > 0, 400).when(host == "", 400)
-        .when(host.isin("169.254.169.254", "metadata.google.internal"), 403).when(~port.isin(80, 443), 403)
-        .when(is_denied(host), 403).otherwise(200).cast("long")
+    """The status that the policy gives a URL; names are not resolved.
+
+    Hosts are read as browsers read them: percent-decoded, in lower case,
+    without a closing dot, numbers as addresses, literals in brackets.  Signs
+    outside ASCII that stand for digits or dots are refused.
+    """
+    from . import ipv6
+
+    url = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]++|[\\x00-\\x20]++$", ""), "[\\t\\n\\r]", "")
+    scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*+):", 1))
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*+:[/\\]*+([^/?#\\]*+)", 1)
+    literal = F.regexp_extract(authority, r"^\[([^\]]*+)\](?::[0-9]*+)?$", 1)
+    name = F.lower(F.coalesce(F.try_url_decode(F.replace(F.regexp_extract(authority, r"^([^:\[]*+)(?::[0-9]*+)?$", 1), F.lit("+"), F.lit("%2B"))), F.lit("")))
+    name = F.regexp_replace(name, r"\.$", "")
+    port = F.regexp_extract(authority, r":([0-9]+)$", 1)
+    port = F.when(port == "", F.when(scheme == "https", 443).otherwise(80)).when(F.length(port) > 9, 65536).otherwise(port.try_cast("int"))
+    facts = F.struct(
+        scheme.alias("scheme"), authority.alias("authority"), ipv6.digits(literal).alias("digits"), name.alias("name"), port.alias("port"),
+        host_address(name).alias("address"),
     )
 
+    def status(x: Column) -> Column:
+        denied = F.lit(False)
+        for base, bits in DENIED:
+            denied = denied | within(x["address"], base, bits)
+        bracketed = F.startswith(x["authority"], F.lit("["))
+        return (
+            F.when(~x["scheme"].isin("http", "https"), 400).when(F.instr(x["authority"], "@") > 0, 400)
+            .when(F.when(bracketed, x["digits"].isNull()).otherwise(x["name"] == ""), 400)
+            .when(x["name"].rlike(r"[\p{N}\x{3002}\x{FF0E}\x{FF61}&&[^0-9]]"), 403)
+            .when(x["name"].rlike(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7F]"), 400).when((x["address"] == -1) | (x["port"] > 65535), 400)
+            .when(x["name"].isin("169.254.169.254", "metadata.google.internal"), 403).when(~x["port"].isin(80, 443), 403)
+            .when(F.coalesce(F.when(bracketed, ipv6.denied_digits(x["digits"])).otherwise(denied), F.lit(False)), 403).otherwise(200)
+        )
+
+    return F.element_at(F.transform(F.array(facts), status), 1).cast("long")
+
 
 def client_address(peer: Column, forwarded: Column, real: Column, trusted: list[tuple[str, int]]) -> Column:
     """The rightmost forwarded address that is not a trusted proxy; else the real-ip header; else the peer."""

@@ -1,15 +1,8 @@
-"""Rasters as tables of pixels ``(image_id, y, x, v)``: transforms, blends, quality metrics.
-
-Every transform is a projection, a filter, a join with a table of weights
-whose size depends on the target only, or an aggregation by image, so images
-spread over tasks by hash of their id and place.
-"""
+"""Grey rasters as tables of pixels ``(image_id, y, x, v)``: quality metrics and choices, which are aggregations by image."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,99 +16,6 @@ def from_vectors(df: DataFrame, side: int = 8) -> DataFrame:
     )
 
 
-def orient(px: DataFrame, w: int, h: int, tag: Column) -> DataFrame:
-    """Undo an EXIF orientation (2 to 8); any other tag leaves the image."""
-    x, y = F.col("x"), F.col("y")
-    right, down = F.lit(w - 1) - x, F.lit(h - 1) - y
-    nx = (F.when(tag.isin(2, 3), right).when(tag.isin(6, 7), down).when(tag.isin(5, 8), y).otherwise(x))
-    ny = (F.when(tag.isin(3, 4), down).when(tag.isin(5, 6), x).when(tag.isin(7, 8), right).otherwise(y))
-    return px.withColumns({"x": nx, "y": ny})
-
-
-def rotate(px: DataFrame, w: int, h: int, degrees: Column) -> DataFrame:
-    """Turn clockwise by 0, 90, 180 or 270 degrees."""
-    x, y = F.col("x"), F.col("y")
-    nx = F.when(degrees == 90, h - 1 - y).when(degrees == 180, w - 1 - x).when(degrees == 270, y).otherwise(x)
-    ny = F.when(degrees == 90, x).when(degrees == 180, h - 1 - y).when(degrees == 270, w - 1 - x).otherwise(y)
-    return px.withColumns({"x": nx, "y": ny})
-
-
-def crop(px: DataFrame, x0: Column, y0: Column, w: Column, h: Column) -> DataFrame:
-    inside = F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1)
-    return px.where(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
-
-
-def pad(px: DataFrame, w: int, h: int, box_w: int, box_h: int, background: int) -> DataFrame:
-    """Centre images of ``w`` x ``h`` in a box; what they leave free gets the background."""
-    dx, dy = (box_w - w) // 2, (box_h - h) // 2
-    ids = px.select("image_id").distinct()
-    places = lambda n: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: k.cast("long")))
-    grid = ids.select("image_id", places(box_h).alias("y")).select("image_id", "y", places(box_w).alias("x"))
-    moved = px.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy})
-    return grid.join(moved, ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(background)))
-
-
-def overlay(base: Column, top: Column, alpha: Column) -> Column:
-    """Source over an opaque base, rounded down."""
-    return F.floor((top * alpha + base * (255 - alpha)) / 255).cast("long")
-
-
-def lanczos(x: float, a: int = 3) -> float:
-    if x == 0:
-        return 1.0
-    if abs(x) >= a:
-        return 0.0
-    return a * math.sin(math.pi * x) * math.sin(math.pi * x / a) / (math.pi * x) ** 2
-
-
-def resize_weights(source: int, target: int, a: int = 3) -> list[tuple[int, int, float]]:
-    """``(target place, source place, weight)`` of a Lanczos resize along one axis; each place's weights sum to 1."""
-    ratio = source / target
-    scale = max(1.0, ratio)
-    out = []
-    for t in range(target):
-        centre = (t + 0.5) * ratio
-        first, last = max(0, math.floor(centre - a * scale)), min(source, math.ceil(centre + a * scale))
-        raw = [(s, lanczos((s + 0.5 - centre) / scale, a)) for s in range(first, last)]
-        total = sum(x for _, x in raw)
-        out += [(t, s, x / total) for s, x in raw if x]
-    return out
-
-
-def gauss_weights(size: int, sigma: float) -> list[tuple[int, int, float]]:
-    """``(target place, source place, weight)`` of a Gaussian blur along one axis, cut off at two sigma and the edge."""
-    reach, out = max(1, math.ceil(2 * sigma)), []
-    for t in range(size):
-        raw = [(s, math.exp(-((s - t) ** 2) / (2 * sigma * sigma))) for s in range(max(0, t - reach), min(size, t + reach + 1))]
-        total = sum(x for _, x in raw)
-        out += [(t, s, x / total) for s, x in raw]
-    return out
-
-
-def separable(px: DataFrame, weights_x: list, weights_y: list) -> DataFrame:
-    """Weighted sums along x, then along y.  The weights depend on the sizes alone, and are broadcast."""
-    spark = px.sparkSession
-    wx = F.broadcast(spark.createDataFrame(weights_x, "tx long, x long, wx double"))
-    wy = F.broadcast(spark.createDataFrame(weights_y, "ty long, y long, wy double"))
-    rows = px.join(wx, "x").groupBy("image_id", "y", "tx").agg(F.sum(F.col("v") * F.col("wx")).alias("v"))
-    out = rows.join(wy, "y").groupBy("image_id", "ty", "tx").agg(F.sum(F.col("v") * F.col("wy")).alias("v"))
-    return out.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
-
-
-def unsharp(px: DataFrame, blurred: DataFrame, threshold: int = 1) -> DataFrame:
-    """Add what the blur took away where that is more than the threshold."""
-    soft = blurred.select("image_id", "y", "x", F.round("v").alias("b"))
-    diff = F.col("v") - F.col("b")
-    sharp = F.least(F.greatest(F.col("v") + diff, F.lit(0)), F.lit(255))
-    return px.join(soft, ["image_id", "y", "x"]).select(
-        "image_id", "y", "x", F.when(F.abs(diff) > threshold, sharp).otherwise(F.col("v")).cast("long").alias("v")
-    )
-
-
-def transparency(px: DataFrame, alpha: Column) -> DataFrame:
-    return px.groupBy("image_id").agg(F.bool_or(alpha < 255).alias("transparent"))
-
-
 def quality(pairs: DataFrame) -> DataFrame:
     """PSNR and SSIM of ``(image_id, a, b)``: one group-by, no second pass.
 

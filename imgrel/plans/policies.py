@@ -113,14 +113,14 @@ SELECT req_id, action, CASE WHEN action = 'search' THEN goal END AS target, CASE
 
 def j6_keys(spark, sf):
     single = view(spark, sf, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key_id"), F.col("n_name").alias("secret"))
-    listed = view(spark, sf, "customer").where("c_custkey BETWEEN 20 AND 60").select(
+    listed = view(spark, sf, "customer").select(
         F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key_id"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise("listed").alias("secret"))
     return rules.signing_keys(single, listed)
 
 
 J6 = """SELECT coalesce(a.key_id, b.key_id) AS key_id, coalesce(b.secret, a.secret) AS secret
 FROM (SELECT 'k' || n_nationkey AS key_id, n_name AS secret FROM nation) a
-FULL JOIN (SELECT 'k' || c_custkey AS key_id, 'listed' AS secret FROM customer WHERE c_custkey BETWEEN 20 AND 60 AND c_custkey % 7 <> 0) b ON a.key_id = b.key_id"""
+FULL JOIN (SELECT 'k' || c_custkey AS key_id, 'listed' AS secret FROM customer WHERE c_custkey % 7 <> 0) b ON a.key_id = b.key_id"""
 
 
 def o5_request_ids(spark, sf):
@@ -139,8 +139,7 @@ _TIFF = """SELECT req_id, w, h, alpha, CASE WHEN req_id % 2 = 0
 
 
 def d7_tiff(spark, sf):
-    view(spark, sf, "hdr").createOrReplaceTempView("hdr")
-    return spark.sql(_TIFF).select("req_id", tiff.header(F.unhex("file")).alias("h")).select("req_id", "h.*")
+    return spark.sql(_TIFF.replace("FROM hdr", "FROM {hdr}"), hdr=view(spark, sf, "hdr")).select("req_id", tiff.header(F.unhex("file")).alias("h")).select("req_id", "h.*")
 
 
 D7 = duck("hdr") + "SELECT req_id, w AS width, h AS height, alpha AS has_alpha FROM hdr"

@@ -1,108 +1,277 @@
-"""Queries over rasters as tables of pixels: each vector is a grey image of 8 x 8."""
+"""Queries over rasters: each vector is an image of 16 x 4 with alpha, or a grey one of 8 x 8 as a table of pixels."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import geometry
-from ..operators import pixels
+from ..operators import pixels, rasters
 from ..sources.views import view
 
 SIDE = 8
+W, H = 16, 4
+POSITIONS = ("center", "top", "right", "bottom", "left", "top-left", "top-right", "bottom-left", "bottom-right")
+BACKGROUND = (10, 200, 30, 100)
 _PX = """WITH e AS (SELECT vec_id AS image_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 px AS (SELECT image_id, i // 8 AS y, i % 8 AS x, least(greatest(floor((v + 0.5::DOUBLE) * 255), 0), 255)::BIGINT AS v FROM e)"""
+# one row for each channel of each pixel
+_C = f"""WITH e AS (SELECT vec_id AS image_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+g AS (SELECT image_id, i // {W} AS y, i % {W} AS x, least(greatest(floor((v + 0.5::DOUBLE) * 255), 0), 255)::BIGINT AS v FROM e),
+c AS (SELECT image_id, y, x, c, CASE c WHEN 0 THEN v WHEN 1 THEN 255 - v WHEN 2 THEN v * 7 % 256 ELSE CASE WHEN v < 30 THEN 128 ELSE 255 END END AS v
+  FROM g, range(4) AS r(c))"""
+
+
+def _out(of: str, *, w: str, h: str) -> str:
+    """The head of the last SELECT: pixels of ``of`` as one text an image."""
+    return f""" SELECT image_id, ({w})::INTEGER AS width, ({h})::INTEGER AS height,
+  string_agg(lpad(hex(v::BIGINT), 2, '0'), '' ORDER BY y, x, c) AS data FROM {of} GROUP BY image_id"""
 
 
 def _px(spark, sf):
     return pixels.from_vectors(view(spark, sf, "embeddings"), SIDE)
 
 
+def _images(spark, sf):
+    return rasters.from_vectors(view(spark, sf, "embeddings"), W)
+
+
+def _shown(df):
+    return df.select("image_id", "width", "height", F.hex("data").alias("data"))
+
+
+def _each(spark, sf, step):
+    return _shown(rasters.map_images(_images(spark, sf), step))
+
+
+def _position(row) -> str:
+    return POSITIONS[row["image_id"] % 9]
+
+
+def _offsets(free_x: str, free_y: str, margin: int = 0) -> tuple[str, str]:
+    """SQL for the place of content by ``image_id % 9``, from what is left free on each axis."""
+    x = f"CASE WHEN image_id % 9 IN (4, 5, 7) THEN {margin} WHEN image_id % 9 IN (2, 6, 8) THEN {free_x} - {margin} ELSE ({free_x}) // 2 END"
+    y = f"CASE WHEN image_id % 9 IN (1, 5, 6) THEN {margin} WHEN image_id % 9 IN (3, 7, 8) THEN {free_y} - {margin} ELSE ({free_y}) // 2 END"
+    return x, y
+
+
 def t1_orient(spark, sf):
-    return pixels.orient(_px(spark, sf), SIDE, SIDE, F.col("image_id") % 9)
+    return _each(spark, sf, lambda p, row: rasters.oriented(p, row["image_id"] % 10))
 
 
-T1 = _PX + """SELECT image_id, v, CASE image_id % 9 WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y WHEN 8 THEN y ELSE x END AS x,
-  CASE image_id % 9 WHEN 3 THEN 7 - y WHEN 4 THEN 7 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 7 - x WHEN 8 THEN 7 - x ELSE y END AS y FROM px"""
+T1 = _C + f""", o AS (SELECT image_id, c, v, CASE image_id % 10 WHEN 2 THEN {W - 1} - x WHEN 3 THEN {W - 1} - x WHEN 5 THEN {H - 1} - y WHEN 6 THEN {H - 1} - y WHEN 7 THEN y WHEN 8 THEN y ELSE x END AS x,
+  CASE image_id % 10 WHEN 3 THEN {H - 1} - y WHEN 4 THEN {H - 1} - y WHEN 5 THEN {W - 1} - x WHEN 6 THEN x WHEN 7 THEN x WHEN 8 THEN {W - 1} - x ELSE y END AS y FROM c)""" + _out(
+    "o", w=f"CASE WHEN image_id % 10 BETWEEN 5 AND 8 THEN {H} ELSE {W} END", h=f"CASE WHEN image_id % 10 BETWEEN 5 AND 8 THEN {W} ELSE {H} END")
 
 
 def t2_rotate(spark, sf):
-    return pixels.rotate(_px(spark, sf), SIDE, SIDE, F.col("image_id") % 4 * 90)
+    return _each(spark, sf, lambda p, row: rasters.rotated(p, row["image_id"] % 4 * 90))
 
 
-T2 = _PX + """SELECT image_id, v, CASE image_id % 4 WHEN 1 THEN 7 - y WHEN 2 THEN 7 - x WHEN 3 THEN y ELSE x END AS x,
-  CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 7 - y WHEN 3 THEN 7 - x ELSE y END AS y FROM px"""
+T2 = _C + f""", o AS (SELECT image_id, c, v, CASE image_id % 4 WHEN 1 THEN {H - 1} - y WHEN 2 THEN {W - 1} - x WHEN 3 THEN y ELSE x END AS x,
+  CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN {H - 1} - y WHEN 3 THEN {W - 1} - x ELSE y END AS y FROM c)""" + _out(
+    "o", w=f"CASE WHEN image_id % 2 = 1 THEN {H} ELSE {W} END", h=f"CASE WHEN image_id % 2 = 1 THEN {W} ELSE {H} END")
 
 
 def t3_crop(spark, sf):
-    return pixels.crop(_px(spark, sf), F.col("image_id") % 3, F.col("image_id") % 4, F.lit(4), F.lit(3))
+    return _each(spark, sf, lambda p, row: rasters.cropped(p, row["image_id"] % 5, row["image_id"] % 2, 10, 3))
+
+
+T3 = _C + """, o AS (SELECT * FROM c WHERE x BETWEEN image_id % 5 AND image_id % 5 + 9 AND y BETWEEN image_id % 2 AND image_id % 2 + 2)""" + _out("o", w="10", h="3")
+
+
+def _rounded(v: str) -> str:
+    return f"least(greatest(floor(round({v}, 6) + 0.5::DOUBLE), 0), 255)"
+
+
+def _weights(name: str, source: int, target: int) -> str:
+    """Lanczos weights of one axis, from the formula."""
+    x = f"((s + 0.5::DOUBLE - (t + 0.5::DOUBLE) * {source} / {target}) / greatest(1, {source}::DOUBLE / {target}))"
+    kernel = f"CASE WHEN abs({x}) >= 3 THEN 0 WHEN {x} = 0 THEN 1 ELSE 3 * sin(pi() * {x}) * sin(pi() * {x} / 3) / (pi() * pi() * {x} * {x}) END"
+    return f"{name} AS (SELECT t, s, k / sum(k) OVER (PARTITION BY t) AS k FROM (SELECT t, s, ({kernel})::DOUBLE AS k FROM range({target}) AS a(t), range({source}) AS b(s)))"
+
+
+def _resized(of: str, name: str, size: tuple[int, int], target: tuple[int, int]) -> str:
+    """CTEs that end in ``name``: the pixels of ``of`` at another size."""
+    return f""", {_weights(name + '_x', size[0], target[0])}, {_weights(name + '_y', size[1], target[1])},
+{name}_h AS (SELECT image_id, y, t AS x, c, sum(v * k) AS v FROM {of} JOIN {name}_x ON x = s GROUP BY ALL),
+{name} AS (SELECT image_id, t AS y, x, c, {_rounded('sum(v * k)')} AS v FROM {name}_h JOIN {name}_y ON y = s GROUP BY image_id, t, x, c)"""
+
+
+def _blended(base: str, top: str) -> str:
+    """CTE ``o``: ``top`` over ``base``, both with a row for each channel; where ``top`` has no pixel ``base`` stays."""
+    wide = lambda t: f"(SELECT image_id, y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b, max(v) FILTER (c = 3) / 255::DOUBLE AS a FROM {t} GROUP BY image_id, y, x)"
+    mix = lambda n: f"CASE WHEN alpha = 0 THEN 0 ELSE (ft.{n} * ft.a + fb.{n} * fb.a * (1 - ft.a)) / alpha END"
+    return f""", m AS (SELECT fb.image_id, fb.y, fb.x, ft.a + fb.a * (1 - ft.a) AS alpha, fb.r AS r0, fb.g AS g0, fb.b AS b0, fb.a AS a0, {mix('r')} AS r, {mix('g')} AS g, {mix('b')} AS b
+  FROM {wide(base)} fb LEFT JOIN {wide(top)} ft ON fb.image_id = ft.image_id AND fb.y = ft.y AND fb.x = ft.x),
+o AS (SELECT image_id, y, x, c, floor(round(CASE WHEN alpha IS NULL THEN CASE c WHEN 0 THEN r0 WHEN 1 THEN g0 WHEN 2 THEN b0 ELSE a0 * 255 END
+  ELSE CASE c WHEN 0 THEN r WHEN 1 THEN g WHEN 2 THEN b ELSE alpha * 255 END END, 6)) AS v FROM m, range(4) AS q(c))"""
+
+
+def _box(w: int, h: int) -> str:
+    values = ", ".join(f"({k}, {v})" for k, v in enumerate(BACKGROUND))
+    return f"(SELECT image_id, y, x, c, v FROM (SELECT DISTINCT image_id FROM c) i, range({h}) AS a(y), range({w}) AS b(x), (VALUES {values}) AS z(c, v))"
+
+
+def _moved(of: str, outer: tuple[int, int], inner: tuple[int, int], margin: int = 0) -> str:
+    x, y = _offsets(str(outer[0] - inner[0]), str(outer[1] - inner[1]), margin)
+    return f"(SELECT image_id, y + {y} AS y, x + {x} AS x, c, v FROM {of})"
+
+
+def t5_resize(spark, sf):
+    """Ten pixels wide, the height by the ratio."""
+    return _each(spark, sf, lambda p, _: rasters.resized(p, 10, 3))
+
+
+T5 = _C + _resized("c", "z", (W, H), (10, 3)) + _out("z", w="10", h="3")
+
+
+def _fit(spark, sf, w, h, fit):
+    return _each(spark, sf, lambda p, row: rasters.fitted(p, w, h, fit, _position(row), BACKGROUND))
 
 
-T3 = _PX + """SELECT image_id, y - image_id % 4 AS y, x - image_id % 3 AS x, v FROM px
-WHERE x BETWEEN image_id % 3 AND image_id % 3 + 3 AND y BETWEEN image_id % 4 AND image_id % 4 + 2"""
+def t6_fill(spark, sf):
+    return _fit(spark, sf, 7, 9, "fill")
+
+
+T6 = _C + _resized("c", "z", (W, H), (7, 9)) + _out("z", w="7", h="9")
+
+
+def t7_contain(spark, sf):
+    """Larger than the source: 24 x 6 in a box of 24 x 10."""
+    return _fit(spark, sf, 24, 10, "contain")
+
+
+T7 = _C + _resized("c", "z", (W, H), (24, 6)) + _blended(_box(24, 10), _moved("z", (24, 10), (24, 6))) + _out("o", w="24", h="10")
+
+
+def t8_inside(spark, sf):
+    """As it is in a larger box for every other image, else smaller: 8 x 2 in a box of 8 x 7."""
+    return _each(spark, sf, lambda p, row: rasters.fitted(p, 20 if row["image_id"] % 2 else 8, 7, "inside", _position(row), BACKGROUND))
+
+
+_T8_SMALL = _resized("c", "z", (W, H), (8, 2)) + _blended(_box(8, 7), _moved("z", (8, 7), (8, 2)))
+T8 = (
+    "SELECT * FROM (" + _C + _T8_SMALL + _out("o", w="8", h="7") + ") WHERE image_id % 2 = 0 UNION ALL SELECT * FROM ("
+    + _C + _blended(_box(20, 7), _moved("c", (20, 7), (W, H))) + _out("o", w="20", h="7") + ") WHERE image_id % 2 = 1"
+)
+
+
+def t9_cover(spark, sf):
+    """20 x 5 is what covers a box of 6 x 5."""
+    return _fit(spark, sf, 6, 5, "cover")
+
+
+_X9, _ = _offsets("14", "0")
+T9 = _C + _resized("c", "z", (W, H), (20, 5)) + f""", o AS (SELECT image_id, y, x - {_X9} AS x, c, v FROM z WHERE x - {_X9} BETWEEN 0 AND 5)""" + _out("o", w="6", h="5")
 
 
 def t10_pad(spark, sf):
-    small = pixels.crop(_px(spark, sf), F.lit(2), F.lit(2), F.lit(4), F.lit(4))
-    return pixels.pad(small, 4, 4, 7, 9, 255)
+    return _each(spark, sf, lambda p, row: rasters.padded(p, 19, 9, _position(row), BACKGROUND))
+
+
+T10 = _C + _blended(_box(19, 9), _moved("c", (19, 9), (W, H))) + _out("o", w="19", h="9")
 
 
-T10 = _PX + """, g AS (SELECT image_id, gy, gx FROM (SELECT DISTINCT image_id FROM px), range(9) AS a(gy), range(7) AS b(gx))
-SELECT g.image_id, gy AS y, gx AS x, coalesce(v, 255)::BIGINT AS v FROM g LEFT JOIN px ON px.image_id = g.image_id AND px.x - 2 + 1 = gx AND px.y - 2 + 2 = gy
-  AND px.x BETWEEN 2 AND 5 AND px.y BETWEEN 2 AND 5"""
+def t12_blur(spark, sf):
+    return _each(spark, sf, lambda p, _: rasters.blurred(p, 1.5))
+
+
+def _blurred(name: str, sigma: float, reach: int) -> str:
+    axis = lambda n, size: (
+        f"{name}_{n} AS (SELECT t, s, k / sum(k) OVER (PARTITION BY t) AS k FROM (SELECT t, s, exp(-((s - t) * (s - t)) / {2 * sigma * sigma}::DOUBLE) AS k "
+        f"FROM range({size}) AS a(t), range({size}) AS b(s) WHERE abs(s - t) <= {reach}))")
+    return f""", {axis('x', W)}, {axis('y', H)}, {name}_h AS (SELECT image_id, y, t AS x, c, sum(v * k) AS v FROM c JOIN {name}_x ON x = s GROUP BY ALL),
+{name} AS (SELECT image_id, t AS y, x, c, {_rounded('sum(v * k)')} AS v FROM {name}_h JOIN {name}_y ON y = s GROUP BY image_id, t, x, c)"""
+
+
+T12 = _C + _blurred("z", 1.5, 3) + _out("z", w=str(W), h=str(H))
+
+
+def t13_unsharp(spark, sf):
+    return _each(spark, sf, lambda p, _: rasters.sharpened(p, 1.0))
+
+
+T13 = _C + _blurred("z", 1.0, 2) + """, o AS (SELECT c.image_id, c.y, c.x, c.c, CASE WHEN abs(c.v - z.v) > 1 THEN least(greatest(2 * c.v - z.v, 0), 255) ELSE c.v END AS v
+  FROM c JOIN z ON c.image_id = z.image_id AND c.y = z.y AND c.x = z.x AND c.c = z.c)""" + _out("o", w=str(W), h=str(H))
 
 
 def t14_watermark(spark, sf):
-    """A mark of 3 x 2 pixels, half transparent, at the bottom right with a margin of one pixel."""
-    x0, y0 = geometry.watermark_offset(F.lit(SIDE), F.lit(SIDE), F.lit(3), F.lit(2), F.lit("bottom-right"), F.lit(1))
-    mark = spark.range(6).select((y0 + F.floor(F.col("id") / 3)).alias("y"), (x0 + F.col("id") % 3).alias("x"), (F.col("id") * 40 + 20).alias("mark"),
-                                 F.floor((F.col("id") * 30 + 60) * 50 / 100).alias("alpha"))
-    joined = _px(spark, sf).join(F.broadcast(mark), ["y", "x"], "left")
-    return joined.select("image_id", "y", "x", F.when(F.col("mark").isNull(), F.col("v")).otherwise(pixels.overlay(F.col("v"), F.col("mark"), F.col("alpha"))).alias("v"))
+    """A mark of 3 x 2 pixels at each position, with half its alpha and a margin of one pixel."""
+    mark = np.array([[[i * 40 + 20, 255 - i * 30, i * 11, i * 30 + 61] for i in range(y * 3, y * 3 + 3)] for y in range(2)], np.uint8)
+    return _each(spark, sf, lambda p, row: rasters.marked(p, mark, _position(row), 50, 1))
 
 
-T14 = _PX + """, m AS (SELECT 5 + i // 3 AS my, 4 + i % 3 AS mx, i * 40 + 20 AS mark, (i * 30 + 60) * 50 // 100 AS alpha FROM range(6) AS t(i))
-SELECT image_id, y, x, (CASE WHEN mark IS NULL THEN v ELSE (mark * alpha + v * (255 - alpha)) // 255 END)::BIGINT AS v FROM px LEFT JOIN m ON y = my AND x = mx"""
+T14 = _C + """, mark AS (SELECT image_id, i // 3 AS y, i % 3 AS x, c, CASE c WHEN 0 THEN i * 40 + 20 WHEN 1 THEN 255 - i * 30 WHEN 2 THEN i * 11 ELSE (i * 30 + 61) * 50 // 100 END AS v
+  FROM (SELECT DISTINCT image_id FROM c) d, range(6) AS r(i), range(4) AS q(c))""" + _blended("c", _moved("mark", (W, H), (3, 2), 1)) + _out("o", w=str(W), h=str(H))
 
 
 def t16_transparency(spark, sf):
-    return pixels.transparency(_px(spark, sf), F.when(F.col("v") < 30, 128).otherwise(255))
+    return _images(spark, sf).select("image_id", rasters.is_transparent(F.col("data")).alias("transparent"))
 
 
-T16 = _PX + "SELECT image_id, bool_or(v < 30) AS transparent FROM px GROUP BY image_id"
+T16 = _C + " SELECT image_id, bool_or(c = 3 AND v < 255) AS transparent FROM c GROUP BY image_id"
 
 
-def _weights(rows):
-    return "(FROM (VALUES " + ", ".join(f"({t}, {s}, {w!r}::DOUBLE)" for t, s, w in rows) + ") AS t(t, s, w))"
+def t17_output_alpha(spark, sf):
+    """What an output says of its alpha, and how many channels are written: opaque images lose theirs, and JPEG has none."""
+    kind = F.when(F.col("image_id") % 3 == 0, "jpeg").when(F.col("image_id") % 3 == 1, "png").otherwise("bmp")
+    images = _images(spark, sf).select("image_id", kind.alias("output"), rasters.is_transparent(F.col("data")).alias("alpha"))
+    alpha = F.when(F.col("output") == "jpeg", False).otherwise(F.col("alpha"))
+    return images.groupBy("output", alpha.alias("has_alpha"), F.when(alpha, 4).otherwise(3).cast("long").alias("channels")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _separable_sql(wx, wy):
-    return f""", wx AS {_weights(wx)}, wy AS {_weights(wy)},
-h AS (SELECT image_id, y, t AS x, sum(v * w) AS v FROM px JOIN wx ON x = s GROUP BY ALL), f AS (SELECT image_id, t AS y, x, sum(v * w) AS v FROM h JOIN wy ON y = s GROUP BY ALL)"""
+T17 = _C + """, t AS (SELECT image_id, bool_or(c = 3 AND v < 255) AS alpha FROM c GROUP BY image_id)
+SELECT ['jpeg', 'png', 'bmp'][image_id % 3 + 1] AS output, alpha AND image_id % 3 > 0 AS has_alpha, (3 + (alpha AND image_id % 3 > 0)::INT)::BIGINT AS channels, count(*) AS n FROM t GROUP BY ALL"""
 
 
-def t5_resize(spark, sf):
-    wx, wy = pixels.resize_weights(SIDE, 5), pixels.resize_weights(SIDE, 12)
-    return pixels.separable(_px(spark, sf), wx, wy).withColumn("v", F.round("v", 4))
+def e2_round_trip(spark, sf):
+    """Each image as a file of its output type and back: the pixels stay; types without a codec say so."""
+    kind = F.element_at(F.array(*map(F.lit, ("png", "bmp", "webp"))), (F.col("image_id") % 3 + 1).cast("int"))
+    files = rasters.encode(_images(spark, sf).withColumn("media_type", kind), "media_type")
+    return rasters.decode(files).select("image_id", "media_type", "width", "height", "error", F.hex("data").alias("data"))
 
 
-T5 = _PX + _separable_sql(pixels.resize_weights(SIDE, 5), pixels.resize_weights(SIDE, 12)) + " SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(v, 4) AS v FROM f"
+E2 = "SELECT image_id, ['png', 'bmp', 'webp'][image_id % 3 + 1] AS media_type, CASE WHEN image_id % 3 < 2 THEN width END AS width, CASE WHEN image_id % 3 < 2 THEN height END AS height, CASE WHEN image_id % 3 = 2 THEN 'CapabilityMissing' END AS error, CASE WHEN image_id % 3 < 2 THEN data END AS data FROM (" + _C + _out("c", w=str(W), h=str(H)) + ")"
 
+#: Levels and row filters that are tried, the baseline first.
+STRATEGIES = [(6, 4), (9, 4), (9, 1), (9, 2), (9, 3), (9, 0)]
 
-def t12_blur(spark, sf):
-    w = pixels.gauss_weights(SIDE, 1.5)
-    return pixels.separable(_px(spark, sf), w, w).withColumn("v", F.round("v", 4))
 
+def e4_png(spark, sf):
+    """The smallest of several PNG encodings, which is no larger than the first and holds the same pixels."""
+    best = rasters.png_candidates(_images(spark, sf), STRATEGIES)
+    kept = best.select("image_id", (F.col("bytes") <= F.col("baseline")).alias("no_larger"), F.lit("png").alias("media_type"), "content")
+    return rasters.decode(kept).select("image_id", "no_larger", F.hex("data").alias("data"))
 
-T12 = _PX + _separable_sql(*[pixels.gauss_weights(SIDE, 1.5)] * 2) + " SELECT image_id, y::BIGINT AS y, x::BIGINT AS x, round(v, 4) AS v FROM f"
 
+E4_PNG = "SELECT image_id, true AS no_larger, data FROM (" + _C + _out("c", w=str(W), h=str(H)) + ")"
 
-def t13_unsharp(spark, sf):
-    px, w = _px(spark, sf), pixels.gauss_weights(SIDE, 1.0)
-    return pixels.unsharp(px, pixels.separable(px, w, w))
+
+def _requests(spark, sf):
+    """PNG and BMP files with what is asked of them; every eleventh file is cut off."""
+    kind = F.when(F.col("image_id") % 2 == 0, "png").otherwise("bmp")
+    files = rasters.encode(_images(spark, sf).withColumn("media_type", kind), "media_type")
+    content = F.when(F.col("image_id") % 11 == 0, F.substr("content", F.lit(1), F.lit(60))).otherwise(F.col("content"))
+    return files.select(
+        "image_id", "media_type", content.alias("content"), F.lit(4).alias("orientation"), F.lit(90).alias("rotate"), F.array(*map(F.lit, (1, 2, 3, 10))).alias("crop"),
+        F.lit(6).alias("w"), F.lit(5).alias("h"), F.lit("fill").alias("fit"), F.lit("center").alias("position"), F.array(*map(F.lit, BACKGROUND)).alias("background"),
+        F.lit(None).cast("double").alias("blur"), F.lit(None).cast("double").alias("sharpen"), F.lit(None).cast("int").alias("opacity"),
+        F.when(F.col("image_id") % 3 == 0, "png").otherwise("bmp").alias("output"),
+    )
+
+
+def t18_pipeline(spark, sf):
+    """File bytes to file bytes; the pixels of the files that come out are read back."""
+    done = rasters.transform(_requests(spark, sf)).select("image_id", "error", "content", F.when(F.col("image_id") % 3 == 0, "png").otherwise("bmp").alias("media_type"))
+    back = rasters.decode(done.where("error IS NULL")).select("image_id", F.lit(None).cast("string").alias("error"), F.hex("data").alias("data"))
+    return back.unionByName(done.where("error IS NOT NULL").select("image_id", "error", F.lit(None).cast("string").alias("data")))
 
 
-T13 = _PX + _separable_sql(*[pixels.gauss_weights(SIDE, 1.0)] * 2) + """ SELECT px.image_id, px.y, px.x,
-  (CASE WHEN abs(px.v - round(f.v)) > 1 THEN least(greatest(2 * px.v - round(f.v), 0), 255) ELSE px.v END)::BIGINT AS v FROM px JOIN f ON px.image_id = f.image_id AND px.y = f.y AND px.x = f.x"""
+T18 = (
+    "SELECT image_id, CASE WHEN image_id % 11 = 0 THEN 'DecodeFailed' END AS error, CASE WHEN image_id % 11 > 0 THEN data END AS data FROM ("
+    + _C + f""", f AS (SELECT image_id, y AS x, x AS y, c, v FROM c), k AS (SELECT image_id, x - 1 AS x, y - 2 AS y, c, v FROM f WHERE x BETWEEN 1 AND 3 AND y BETWEEN 2 AND 11)"""
+    + _resized("k", "z", (3, 10), (6, 5)) + _out("z", w="6", h="5") + ")"
+)
 
 
 def q_metrics(spark, sf):
@@ -143,7 +312,9 @@ E7 = _PX + """, s AS (SELECT image_id, q, avg(((v - v // st * st) * (v - v // st
 SELECT image_id, coalesce(min(q) FILTER (mse <= 90), 100)::BIGINT AS quality FROM s GROUP BY image_id"""
 
 QUERIES = {
-    "t1_orient": (t1_orient, T1), "t2_rotate": (t2_rotate, T2), "t3_crop": (t3_crop, T3), "t5_resize": (t5_resize, T5), "t10_pad": (t10_pad, T10),
+    "t1_orient": (t1_orient, T1), "t2_rotate": (t2_rotate, T2), "t3_crop": (t3_crop, T3), "t5_resize": (t5_resize, T5), "t6_fill": (t6_fill, T6),
+    "t7_contain": (t7_contain, T7), "t8_inside": (t8_inside, T8), "t9_cover": (t9_cover, T9), "t10_pad": (t10_pad, T10),
     "t12_blur": (t12_blur, T12), "t13_unsharp": (t13_unsharp, T13), "t14_watermark": (t14_watermark, T14), "t16_transparency": (t16_transparency, T16),
+    "t17_output_alpha": (t17_output_alpha, T17), "t18_pipeline": (t18_pipeline, T18), "e2_round_trip": (e2_round_trip, E2), "e4_png": (e4_png, E4_PNG),
     "q_metrics": (q_metrics, Q), "e4_smallest": (e4_smallest, E4), "e7_target": (e7_target, E7),
 }

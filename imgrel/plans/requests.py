@@ -327,16 +327,18 @@ def flagship(spark, sf):
     req = validate.normalize(view(spark, sf, "req"))
     w, h = geometry.output_size(F.lit(4000), F.lit(3000), F.col("width"), F.col("height"))
     keyed = req.select(
-        "fmt", "fit", "error", cache.cache_key(F.col("source_path"), cache.parameters(req)).alias("key"),
-        F.when(F.col("error").isNull(), w * h).alias("pixels"),
+        cache.cache_key(F.col("source_path"), cache.parameters(req)).alias("key"),
+        F.struct("req_id", "fmt", "fit", "error", F.when(F.col("error").isNull(), w * h).alias("pixels")).alias("row"),
     )
-    return keyed.dropDuplicates(["key"]).groupBy("fmt", "fit", "error").agg(
+    # of the requests with one key the first counts
+    first = keyed.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return first.groupBy("fmt", "fit", "error").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pixels").alias("pixels"), F.max("pixels").alias("largest"))
 
 
 FLAGSHIP = duck("req") + f""", p AS (SELECT {_FMT} AS fmt, CASE WHEN width IS NOT NULL AND height IS NOT NULL THEN coalesce(fit, 'contain') END AS fit,
-  {_ERROR_SQL} AS error, source_path || chr(10) || {_C1_PARAMS} AS key, 4000 AS w, 3000 AS h, width AS tw, height AS th FROM req),
-o AS (SELECT *, {_SIZE} FROM p), d AS (SELECT DISTINCT ON (key) * FROM o)
+  {_ERROR_SQL} AS error, source_path || chr(10) || {_C1_PARAMS} AS key, 4000 AS w, 3000 AS h, width AS tw, height AS th, req_id FROM req),
+o AS (SELECT *, {_SIZE} FROM p), d AS (SELECT DISTINCT ON (key) * FROM o ORDER BY key, req_id)
 SELECT fmt, fit, error, count(*) AS n, sum(CASE WHEN error IS NULL THEN ow * oh END)::BIGINT AS pixels,
   max(CASE WHEN error IS NULL THEN ow * oh END)::BIGINT AS largest FROM d GROUP BY ALL"""
 

@@ -116,14 +116,25 @@ SELECT event_id AS req_id, user_id % 2 = 0 AS has_alpha,
   CASE event_id % 4 WHEN 0 THEN '*' WHEN 1 THEN 'W/"sha256-' || CAST(event_id AS VARCHAR(20)) || '"'
     WHEN 2 THEN '"a", "sha256-' || CAST(event_id AS VARCHAR(20)) || '"' END AS if_none_match
 FROM {events}""",
-    # remote URLs, friendly and hostile
+    # remote URLs, friendly and hostile: an address in several forms, and others
     "urls": """
-SELECT page_id, url AS original, CASE page_id % 14 WHEN 0 THEN 'http://169.254.169.254/latest' WHEN 1 THEN 'http://10.1.2.3/x.png'
-  WHEN 2 THEN 'https://user:pw@example.com/x' WHEN 3 THEN 'ftp://example.com/x' WHEN 4 THEN 'https://example.com:8080/x'
-  WHEN 5 THEN 'http://100.64.0.9/x' WHEN 6 THEN 'http://metadata.google.internal/x' WHEN 7 THEN 'http://8.8.8.8:443/x'
-  WHEN 8 THEN 'http://192.168.' || CAST(page_id % 256 AS VARCHAR(20)) || '.1/x' WHEN 9 THEN 'http://203.0.113.7/x'
-  WHEN 10 THEN 'http://240.0.0.1/x' WHEN 11 THEN 'http://198.19.255.1/x' ELSE url END AS url
-FROM {pages}""",
+SELECT page_id, n, CASE page_id % 13
+  WHEN 0 THEN 'http://' || CAST(n AS VARCHAR(20)) || '/x' WHEN 1 THEN 'http://0x' || lower(hex(n)) || '/x'
+  WHEN 2 THEN 'http://' || dotted || '/x.png' WHEN 3 THEN 'https://' || dotted || './x'
+  WHEN 4 THEN 'http://[::ffff:' || dotted || ']/x' WHEN 5 THEN 'http://' || a || '.' || CAST(n % 16777216 AS VARCHAR(20)) || ':80/x'
+  WHEN 6 THEN 'http://' || a || '.0x' || hex(b) || '.' || CAST(n % 65536 AS VARCHAR(20)) || ':443'
+  WHEN 7 THEN 'https://user:pw@example.com/x' WHEN 8 THEN 'ftp://' || dotted || '/x' WHEN 9 THEN 'https://example.com:8080/x'
+  WHEN 10 THEN 'http://METADATA.google.internal./x' WHEN 11 THEN 'http://300.' || dotted || '/' ELSE url END AS url
+FROM (
+  SELECT *, CAST(floor(n / 16777216) AS VARCHAR(20)) AS a, CAST(floor(n / 65536) AS BIGINT) % 256 AS b,
+    CAST(floor(n / 16777216) AS VARCHAR(20)) || '.' || CAST(CAST(floor(n / 65536) AS BIGINT) % 256 AS VARCHAR(20)) || '.'
+      || CAST(CAST(floor(n / 256) AS BIGINT) % 256 AS VARCHAR(20)) || '.' || CAST(n % 256 AS VARCHAR(20)) AS dotted
+  FROM (
+    SELECT page_id, url, page_id * 37 % 512 + CASE page_id % 8 WHEN 0 THEN 2130706432 WHEN 1 THEN 167772160 WHEN 2 THEN 2851995648
+      WHEN 3 THEN 134744064 WHEN 4 THEN 1681915904 WHEN 5 THEN 3405803520 WHEN 6 THEN 3758096384 ELSE 1681915648 END AS n
+    FROM {pages}
+  ) AS p
+) AS p""",
     # forwarded-for chains
     "xff": """
 SELECT event_id AS req_id, CASE WHEN event_id % 4 = 0 THEN '198.51.100.7' ELSE '10.0.0.1' END AS peer,

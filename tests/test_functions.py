@@ -3,12 +3,15 @@
 import hashlib
 import hmac
 import ipaddress
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from imgrel.functions import media, negotiate, parse, signing, svg, urls
-from imgrel.operators import cache, limits, metrics, pixels
+from imgrel.operators import cache, limits, metrics, rasters
 
 
 def values(spark, column, texts, name="t"):
@@ -136,9 +139,59 @@ def test_quantile_in_the_open_bucket_is_the_last_bound(spark):
     assert found["a"] == 30.0 and found["b"] == pytest.approx(0.0375)
 
 
-def test_resize_weights_keep_a_flat_image_flat():
+def test_weights_keep_a_flat_image_flat():
     for target in (1, 3, 8, 20):
-        sums = {}
-        for t, _, w in pixels.resize_weights(8, target):
-            sums[t] = sums.get(t, 0) + w
-        assert sorted(sums) == list(range(target)) and all(abs(x - 1) < 1e-9 for x in sums.values())
+        flat = np.full((8, 5, 4), 77, np.uint8)
+        assert (rasters.resized(flat, target, 2 * target) == 77).all() and (rasters.blurred(flat, target / 2) == 77).all()
+
+
+def test_png_of_every_filter_and_kind_is_read():
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 256, (7, 5, 4), dtype=np.uint8)
+    opaque = image.copy()
+    opaque[..., 3] = 255
+    for kind in range(5):
+        for pixels in (image, opaque, image[:1], image[:, :1]):
+            assert (rasters.png_pixels(rasters.png_bytes(pixels, 9, kind)) == pixels).all()
+    for pixels in (image, opaque, image[:1], image[:, :1]):
+        assert (rasters.bmp_pixels(rasters.bmp_bytes(pixels)) == pixels).all()
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + bytes(4)
+    made = lambda colour, rows, extra=b"": rasters.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(rows))
+    assert rasters.png_pixels(made(0, b"\0\1\2\0\3\4") + bytes(9)).tolist() == [[[1, 1, 1, 255], [2, 2, 2, 255]], [[3, 3, 3, 255], [4, 4, 4, 255]]]
+    palette = chunk(b"PLTE", bytes(range(9))) + chunk(b"tRNS", b"\x07")
+    assert rasters.png_pixels(made(3, b"\0\0\1\0\2\0", palette)).tolist() == [[[0, 1, 2, 7], [3, 4, 5, 255]], [[6, 7, 8, 255], [0, 1, 2, 7]]]
+    for broken in (b"", rasters.PNG, made(0, b"\0\1"), made(0, b"\x09\1\2\0\3\4"), made(7, b""), rasters.png_bytes(image)[:60]):
+        with pytest.raises((ValueError, struct.error)):
+            rasters.png_pixels(broken)
+
+
+def test_images_of_other_sizes_and_nulls(spark):
+    rows = [(1, 2, 1, bytes(range(8)), "x"), (2, None, None, None, "y"), (3, 1, 3, bytes(12), None)]
+    df = spark.createDataFrame(rows, "image_id long, width int, height int, data binary, note string")
+    found = {r.image_id: (r.width, r.height, bytes(r.data or b""), r.note) for r in rasters.map_images(df, lambda p, row: rasters.rotated(p, 90)).collect()}
+    assert found == {1: (1, 2, bytes(range(8)), "x"), 2: (None, None, b"", "y"), 3: (3, 1, bytes(12), None)}
+    assert rasters.map_images(df.limit(0), lambda p, row: p).count() == 0
+    files = spark.createDataFrame([(1, "png", b"junk"), (2, None, None), (3, "jpeg", b"x")], "image_id long, media_type string, content binary")
+    assert [r.error for r in rasters.decode(files).orderBy("image_id").collect()] == ["DecodeFailed", "CapabilityMissing", "CapabilityMissing"]
+
+
+def test_hosts_are_read_as_browsers_do(spark):
+    refused = ["http://[::1]/", "http://[fe80::1]:80/", "http://2130706433/", "http://0x7f.1/", "http://127.0.0.1./", "http://127.1", "http://0177.0.0.01/", "HTTP://0X7F000001/",
+               "http://%31%32%37.0.0.1/", "http:\\\\127.0.0.1\\x", "http:127.0.0.1", " http://10.0.0.1 ", "http://127\n.0.0.1/", "http://\uff11\uff12\uff17.0.0.1/", "http://127\u30020\u30020\u30021/",
+               "http://[::ffff:10.0.0.1]/", "http://metadata.google.internal./x", "http://0/", "http://0x/", "https://example.com:81/"]
+    bad = ["http://", "http://a@b/", "ftp://x/", "http://1.2.3.4.5/", "http://256.1.1.1/", "http://[::1/", "http://[zz]/", "http://0x100000000/", "http://a b/", "http://a%00b/", "http://x:99999/", "http://09/", "x", "http://99999999999999999999/"]
+    good = ["http://8.8.8.8/", "https://example.com", "http://[2606:4700::1111]/", "http://134744072/", "http://1.2.3.4a/", "https://caf\u00e9.example/", "http://example.com:80/a@b", "http://127.0.0.1.example/"]
+    assert values(spark, urls.url_status, refused) == [403] * len(refused)
+    assert values(spark, urls.url_status, bad) == [400] * len(bad)
+    assert values(spark, urls.url_status, good) == [200] * len(good)
+
+
+def test_vector_images_are_recognised_behind_any_prologue(spark):
+    yes = ["<svg>", "\ufeff <svg ", "<?xml version='1.0'?>\n<svg\t", "<?xml?><!DOCTYPE svg>\n<!-- a --><!-- b -->\n<SVG>", "<!--c-->" * 20_000 + "<svg>", " " * 100_000 + "<svg>"]
+    no = ["", "<svgx>", "x<svg>", "<!-- <svg>", "<?xml <svg>", "<!--c-->" * 20_000, "<html><svg>", "<!--a--> x <svg>", " " * 100_000]
+    assert values(spark, media.is_svg, yes) == [True] * len(yes) and values(spark, media.is_svg, no) == [False] * len(no)
+    assert values(spark, lambda t: media.sniff(t.cast("binary")), yes) == ["svg"] * len(yes)
+    assert values(spark, lambda t: media.sniff(t.cast("binary")), no) == [None] * len(no)
+    box = lambda major, *brands: (16 + 4 * len(brands)).to_bytes(4).hex() + "66747970" + (major + "\0\0\0\0" + "".join(brands)).encode().hex()
+    found = values(spark, lambda t: media.sniff(F.unhex(t)), [box("avif"), box("mif1", "miaf", "avif"), box("mif1", "heic"), box("mif1", "xavi", "fxxx"), "3C737667FF3E"])
+    assert found == ["avif", "avif", None, None, None]
