@@ -70,14 +70,14 @@ def text_key(text: Column) -> Column:
 def keep_rows(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` without the rows named in ``dropped``, and with one row for each of those named in ``repeated``.
 
-    Both name rows by ``(doc_id, text_key)``, nulls included, and are written
-    tables: Spark sees their size, broadcasts them while it is below its
-    threshold, and merges sorted rows beyond.
+    Both name rows by ``(doc_id, text_key)``, nulls included.  They grow with
+    the input, so sorted rows are merged at every size, and texts are shuffled
+    once: a broadcast of a small table would only hide that from a small run.
     """
     taken = set(docs.columns)
     key, other_id, other_key = (next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken) for name in ("key", "id", "other"))
     signed = docs.withColumn(key, text_key(F.col("text")))
-    named = lambda df: df.select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key))
+    named = lambda df: df.select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key)).hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col(other_id)) & F.col(key).eqNullSafe(F.col(other_key))
     out = signed.join(named(dropped), same, "left_anti")
     if not repeated.isEmpty():

@@ -228,10 +228,9 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     """One row of each near-duplicate group, with all its columns.
 
     The smallest doc_id stays, a null one last; of equal ones the text with
-    the smaller hash.  A row is known by its doc_id, its text's hash and
-    length: other texts under the same doc_id, or under none, are judged by
-    themselves, and rows equal in all three leave one row.  What goes is
-    joined against the rows: Spark broadcasts it while it is small.
+    the smaller hash.  A row is known by its doc_id and its text's
+    digest: other texts under the same doc_id, or under none, are judged by
+    themselves, and rows equal in both leave one row.
     """
     rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"), F.monotonically_increasing_id().alias("row_id"))
     rows = materialize(fingerprints(rows, shingle, ("doc_id", "text_key", "row_id")))
