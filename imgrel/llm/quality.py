@@ -30,7 +30,7 @@ from .shared import materialize, table
 BITS = 19
 MAX_ROWS = 8192
 #: Indicators of all rows that a model is fitted on, which bounds the driver's memory; a row has at most 2 ** BITS.
-MAX_FEATURES = 16_000_000
+MAX_FEATURES = 4_000_000
 #: score >= THRESHOLD keeps a document: in doubt it stays.
 THRESHOLD = 0.3
 #: Bytes of a text that are looked at together.
@@ -164,11 +164,11 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, bits: int = BITS, cost: fl
         counts[int(label), features] += 1
     share = counts / counts.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0])
-    values = [scaled(ratio, features) for features in rows]
+    values = [scaled(ratio, features).astype(np.float32) for features in rows]
     sign = np.where(positive, 1.0, -1.0)
     # both classes carry the same total cost, so the rarer one is not given up
     most = cost * 0.5 * len(rows) / np.where(positive, positive.sum(), (~positive).sum())
-    square = np.array([(x * x).sum() + 1 for x in values])
+    square = np.array([float((x * x).sum()) + 1 for x in values])
     alpha, weights, bias = np.zeros(len(rows)), np.zeros(1 << bits), 0.0
     order, active = np.random.default_rng(7), np.arange(len(rows))
     for epoch in range(epochs):
