@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .media import media_flag
+from .media import MEDIA_TYPES
 from .parse import NUMBER
 
 # Media ranges that an Accept header may name, with their specificity.
@@ -52,19 +52,25 @@ def negotiate(df: DataFrame) -> DataFrame:
     most specific range, then the earliest place is chosen.  All inside one
     row, so nothing is shuffled.
     """
-    prefs, types = preferences(F.col("accept")), candidates(F.col("input_type"), F.col("has_alpha"))
+    mimes = F.create_map(*(F.lit(x) for row in MEDIA_TYPES for x in row[:2]))
 
-    def best(kind: Column, place: Column) -> Column:
-        mime = media_flag(kind, "mime")
-        matching = F.filter("prefs", lambda p: (p["range"] == "*/*") | (p["range"] == "image/*") | (p["range"] == mime))
-        top = F.array_max(F.transform(matching, lambda p: F.struct(p["q"].alias("q"), p["specificity"].alias("s"))))
-        return F.struct(F.coalesce(top["q"], F.lit(0)).alias("q"), F.coalesce(top["s"], F.lit(0)).alias("s"), (-place).alias("p"), kind.alias("kind"))
+    def choose(x: Column) -> Column:
+        def best(kind: Column, place: Column) -> Column:
+            mime = F.element_at(mimes, kind)
+            matching = F.filter(x["prefs"], lambda p: p["range"].isin("*/*", "image/*") | (p["range"] == mime))
+            top = F.array_max(F.transform(matching, lambda p: F.struct(p["q"].alias("q"), p["specificity"].alias("s"))))
+            return F.struct(F.coalesce(top["q"], F.lit(0)).alias("q"), F.coalesce(top["s"], F.lit(0)).alias("s"), (-place).alias("p"), kind.alias("kind"))
 
+        top = F.array_max(F.transform(x["types"], best))
+        return F.struct(F.when(F.size(x["prefs"]) > 0, top).alias("top"))
+
+    # the parsed header is one value in here, which is not computed for each candidate again
+    parsed = F.struct(preferences(F.col("accept")).alias("prefs"), candidates(F.col("input_type"), F.col("has_alpha")).alias("types"))
+    chosen = F.element_at(F.transform(F.array(parsed), choose), 1)["top"]
     asked = F.exists(F.split("accept", ","), lambda s: F.trim(s) != "")
-    out = df.withColumns({"prefs": prefs, "types": types})
-    out = out.withColumn("top", F.array_max(F.transform("types", best)))
+    out = df.withColumn("top", chosen)
     none = F.col("accept").isNull() | ~F.coalesce(asked, F.lit(False))
-    ok = ~none & (F.size("prefs") > 0) & (F.col("top.q") > 0)
+    ok = ~none & F.coalesce(F.col("top.q") > 0, F.lit(False))
     return out.select(
         *df.columns, F.when(ok, F.col("top.kind")).alias("chosen"),
         F.when(none | ok, 200).otherwise(406).cast("long").alias("status"),

@@ -25,21 +25,19 @@ def canonical(method: Column, authority: Column, path: Column, query: Column) ->
 
 
 def hmac_sha256(key: Column, message: Column) -> Column:
-    """Lower-case hexadecimal HMAC of two strings.  Pads are built by translating hexadecimal digits pairwise."""
+    """Lower-case hexadecimal HMAC of two strings.
+
+    Pads are eight numbers of eight bytes, each with a constant: for a literal
+    key Spark folds them away.
+    """
     raw = key.cast("binary")
     short = F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
     padded = F.rpad(F.hex(short), 128, "0")
 
     def pad(value: int) -> Column:
-        # the xor of one byte with a constant is a xor of each of its digits
-        digits = "0123456789ABCDEF"
-        high = "".join(digits[d ^ (value >> 4)] for d in range(16))
-        low = "".join(digits[d ^ (value & 15)] for d in range(16))
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(
-            F.translate(F.substr(padded, 2 * k + 1, F.lit(1)), digits, high),
-            F.translate(F.substr(padded, 2 * k + 2, F.lit(1)), digits, low),
-        ))
-        return F.unhex(F.array_join(pairs, ""))
+        constant = F.lit(int.from_bytes(bytes([value]) * 8))
+        numbers = (F.conv(F.substring(padded, 16 * k + 1, 16), 16, -10).cast("long") for k in range(8))
+        return F.unhex(F.concat(*(F.lpad(F.hex(x.bitwiseXOR(constant)), 16, "0") for x in numbers)))
 
     inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
     return F.sha2(F.concat(pad(0x5C), inner), 256)
