@@ -103,3 +103,25 @@ def accepts_gzip(header: Column) -> Column:
         return name.isin("gzip", "*") & ((weight == "") | (F.coalesce(weight.try_cast("double"), F.lit(0.0)) > 0))
 
     return F.exists(F.split(header, ","), allows)
+
+
+def typed(text: Column, kind: str, name: str) -> Column:
+    """``(value, error)`` of a query parameter: ``u32``, ``u8``, ``float`` or ``bool``; a missing one has neither."""
+    number = whole32(text)
+    value, what = {
+        "u32": (number, "an integer"), "u8": (F.when(number <= 255, number), "an integer"),
+        "float": (F.when(text.rlike(NUMBER) | text.rlike("(?i)^[+-]?(inf|infinity|nan)$"), text.try_cast("float").cast("double")), "a number"),
+        "bool": (F.when(text == "true", True).when(text == "false", False), "`true` or `false`"),
+    }[kind]
+    error = F.when(text.isNotNull() & value.isNull(), F.lit(f"query parameter `{name}` must be {what}"))
+    return F.struct(value.alias("value"), error.alias("error"))
+
+
+def setting_error(text: Column, name: str, low: float, high: float, whole: bool) -> Column:
+    """Why a setting is refused; an empty or missing one keeps its default."""
+    value = F.when(text.rlike(WHOLE), text.try_cast("decimal(38,0)")).cast("double") if whole else F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(None))
+        .when(value.isNull(), f"{name} must be a {'positive integer' if whole else 'number'}")
+        .when((value < low) | (value > high), f"{name} must be between {low} and {high}")
+    )

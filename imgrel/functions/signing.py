@@ -70,3 +70,14 @@ def verify(requests: DataFrame, keys: DataFrame, now: int) -> DataFrame:
 def stable_expiry(now: Column, ttl: int) -> Column:
     """The end of the window of ``ttl`` seconds that holds ``now``, so URLs made in it are alike."""
     return (F.ceil(now / ttl) * ttl).cast("long")
+
+
+def bearer_token(header: Column) -> Column:
+    """The token of an Authorization header; null for another scheme or none."""
+    scheme, token = F.regexp_extract(header, r"^(\S*+)\s", 1), F.trim(F.regexp_extract(header, r"(?s)^\S*+\s(.*)$", 1))
+    return F.when((F.lower(scheme) == "bearer") & (token != ""), token)
+
+
+def bearer_status(header: Column, expected: Column) -> Column:
+    """503 where no token is configured, 401 for a missing or another one, else 200."""
+    return F.when(expected.isNull(), 503).when(F.coalesce(bearer_token(header) == expected, F.lit(False)), 200).otherwise(401).cast("long")

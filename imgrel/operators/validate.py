@@ -62,10 +62,18 @@ def normalize(df: DataFrame) -> DataFrame:
     })
 
 
-def svg_error(df: DataFrame) -> Column:
+def svg_error(df: DataFrame, watermark: Column | None = None) -> Column:
     """What a vector input refuses before anything else is looked at."""
-    refuse = lambda column, what: F.when(df[column].isNotNull(), F.lit(f"{what} is not supported for SVG input"))
-    return F.coalesce(refuse("blur", "blur"), refuse("sharpen", "sharpen"), refuse("crop_width", "crop"))
+    refuse = lambda asked, what: F.when(asked, F.lit(f"{what} is not supported for SVG inputs"))
+    return F.coalesce(
+        refuse(df["blur"].isNotNull(), "blur"), refuse(df["sharpen"].isNotNull(), "sharpen"),
+        refuse(F.lit(False) if watermark is None else watermark, "watermark"), refuse(df["crop_width"].isNotNull(), "crop"),
+    )
+
+
+def route(df: DataFrame) -> Column:
+    """Which way a request goes by its input: vector, raster, or refused because a raster cannot become a vector image."""
+    return F.when(df["input_type"] == "svg", "svg").when(df["format"] == "svg", "UnsupportedOutput").otherwise("raster")
 
 
 def watermark_error(opacity: Column, media: Column) -> Column:
