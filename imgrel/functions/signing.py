@@ -43,10 +43,6 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
-def unknown_names(query: Column) -> Column:
-    return F.array_except(F.map_keys(query), F.array(*map(F.lit, ALLOWED)))
-
-
 def verify(requests: DataFrame, keys: DataFrame, now: int) -> DataFrame:
     """Requests with the status of their signature.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import pandas as pd
@@ -74,21 +73,6 @@ def png(px: DataFrame) -> DataFrame:
     return rows.select("image_id", content.alias("content"))
 
 
-def decode_png(content: bytes) -> tuple[int, int, bytes]:
-    """Width, height and bytes of an 8-bit grey PNG without row filters, as ``png`` writes it."""
-    at, width, height, data = 8, 0, 0, b""
-    while at < len(content):
-        size, kind = struct.unpack(">I4s", content[at : at + 8])
-        body = content[at + 8 : at + 8 + size]
-        if kind == b"IHDR":
-            width, height = struct.unpack(">II", body[:8])
-        elif kind == b"IDAT":
-            data += body
-        at += size + 12
-    raw = zlib.decompress(data)
-    return width, height, b"".join(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)] for y in range(height))
-
-
 def png_xmp(content: Column, xmp: Column) -> Column:
     """A PNG with an XMP text chunk after its header."""
     data = F.concat(F.lit("XML:com.adobe.xmp").cast("binary"), F.unhex(F.lit("0000000000")), xmp.cast("binary"))

@@ -82,8 +82,3 @@ def readiness(checks: DataFrame, key: str) -> DataFrame:
         F.bool_and("ok").alias("ready"), F.count(F.lit(1)).alias("n_checks"),
         F.concat_ws(",", F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("name"))))).alias("failed"),
     )
-
-
-def cumulative(values: Column, bounds: list[float]) -> list[Column]:
-    """How many values are at or below each bound."""
-    return [F.count_if(values <= b).alias(f"le_{k}") for k, b in enumerate(bounds)]
