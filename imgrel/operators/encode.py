@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..functions import containers
+
 
 def be(value: Column, width: int) -> Column:
     """A whole number as big-endian bytes."""
@@ -93,3 +95,46 @@ def metadata_warnings(policy: Column, output: Column, has_xmp: Column, has_iptc:
     return F.array_compact(F.array(
         F.when(kept & has_xmp & ~output.isin("jpeg", "png", "webp"), "XMP"), F.when(kept & has_iptc & (output != "jpeg"), "IPTC"),
     ))
+
+
+def jpeg_iptc(content: Column, iptc: Column) -> Column:
+    """A JPEG with an IPTC record after its first marker; null if the record is too long for a segment."""
+    size = F.octet_length(iptc)
+    data = F.concat(
+        F.lit(containers.PHOTOSHOP), F.lit(containers.RESOURCE), be(F.lit(containers.IPTC_RESOURCE), 2), F.unhex(F.lit("0000")),
+        be(size, 4), iptc.cast("binary"), F.unhex(F.when(size % 2 == 1, "00").otherwise("")),
+    )
+    out = F.concat(F.unhex(F.lit("FFD8FFED")), be(F.octet_length(data) + 2, 2), data, F.substr(content, F.lit(3), F.octet_length(content)))
+    return F.when(F.octet_length(data) + 2 <= 65535, out)
+
+
+def inject(content: Column, media: Column, meta: Column) -> Column:
+    """``(content, dropped)``: a file with the XMP and IPTC (WebP: ICC, EXIF and XMP) of ``meta``, and what it could not take.
+
+    In a JPEG the XMP segment stands first.  A broken WebP stays as it is.
+    """
+    iptc = F.when(meta["iptc"].isNotNull(), jpeg_iptc(content, meta["iptc"]))
+    with_iptc = F.coalesce(iptc, content)
+    xmp = F.when(meta["xmp"].isNotNull(), F.when(media == "jpeg", jpeg_xmp(with_iptc, meta["xmp"])).when(media == "png", png_xmp(content, meta["xmp"])))
+    webp = F.when(media == "webp", containers.inject_webp(F.when(media == "webp", content), meta["icc"], meta["exif"], meta["xmp"]))
+    out = F.when(media == "jpeg", F.coalesce(xmp, with_iptc)).when(media == "webp", F.coalesce(webp, content)).otherwise(F.coalesce(xmp, content))
+    dropped = F.array_compact(F.array(
+        F.when(meta["xmp"].isNotNull() & xmp.isNull() & webp.isNull(), "XMP"),
+        F.when(meta["iptc"].isNotNull() & ((media != "jpeg") | iptc.isNull()), "IPTC"),
+    ))
+    return F.struct(out.alias("content"), dropped.alias("dropped"))
+
+
+def passthrough(df: DataFrame) -> Column:
+    """Whether an output is the input's own scan: ``passthrough``, ``CapabilityMissing``, or null where pixels are encoded.
+
+    Lossless JPEG output needs an input of the same type, no change of pixels
+    and an orientation that turns nothing; AVIF has no lossless optimisation.
+    """
+    unset = F.lit(True)
+    for name in ("width", "height", "quality", "background", "crop_width", "blur", "sharpen"):
+        unset = unset & df[name].isNull()
+    same = (df["input_type"] == df["format"]) & unset & (F.coalesce(df["rotate"], F.lit(0)) == 0)
+    upright = ~df["auto_orient"] | (F.coalesce(df["orientation"], F.lit(1)) <= 1)
+    return F.when(df["optimize"] == "lossless", F.when(df["format"] == "jpeg", F.when(same & upright, "passthrough").otherwise("CapabilityMissing"))
+                  .when(df["format"] == "avif", "CapabilityMissing"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import options, policies, rasters, requests, service, wire
+from . import metadata, options, policies, rasters, requests, service, wire
 
-_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES}
+_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES, **metadata.QUERIES}
 
 
 def queries():

@@ -83,6 +83,40 @@ FROM (
     lpad(hex(CASE WHEN p_partkey % 12 = 3 THEN 4294967296 - (CAST(p_size AS BIGINT) * 11 + p_partkey % 7 + 1)
                   ELSE CAST(p_size AS BIGINT) * 11 + p_partkey % 7 + 1 END), 8, '0') AS stored_h
   FROM {part}
+) AS p""",
+    # JPEG files piece by piece, in hexadecimal text, and the metadata that the pieces hold; empty pieces are left out
+    "carrier": """
+SELECT req_id, policy, exif, icc, xmp, iptc, seg_exif, seg_icc, seg_xmp, seg_iptc, seg_com, 'FFD8FFE000104A46494600010100000100010000' AS head,
+  'FFC0001108000A000A03011100021100031100' || 'FFDA00040000' || '12FF0034' || 'FFD9' || 'AA' AS rest
+FROM (
+  SELECT *, CASE WHEN exif IS NULL THEN '' ELSE 'FFE1' || lpad(hex(CAST(length(exif) / 2 AS BIGINT) + 8), 4, '0') || '457869660000' || exif END AS seg_exif,
+    CASE WHEN icc IS NULL THEN '' ELSE 'FFE2' || lpad(hex(CAST(length(icc) / 2 AS BIGINT) + 14), 4, '0') || '4943435F50524F46494C45000202' || substr(icc, 5)
+      || 'FFE20012' || '4943435F50524F46494C45000102' || substr(icc, 1, 4) END AS seg_icc,
+    CASE WHEN xmp IS NULL THEN '' ELSE 'FFE1' || lpad(hex(CAST(length(xmp) / 2 AS BIGINT) + 31), 4, '0') || hex('http://ns.adobe.com/xap/1.0/') || '00' || xmp END AS seg_xmp,
+    CASE WHEN iptc IS NULL THEN '' ELSE 'FFED' || lpad(hex(CAST(floor((length(iptc) / 2 + 1) / 2) AS BIGINT) * 2 + 42), 4, '0') || hex('Photoshop 3.0') || '00'
+      || hex('8BIM') || '03ED0000' || '00000001' || '0100' || hex('8BIM') || '04040000' || lpad(hex(CAST(length(iptc) / 2 AS BIGINT)), 8, '0') || iptc
+      || CASE WHEN length(iptc) % 4 = 2 THEN '00' ELSE '' END END AS seg_iptc,
+    CASE WHEN req_id % 4 = 1 THEN 'FFFE00044142' ELSE '' END AS seg_com
+  FROM (
+    SELECT p_partkey AS req_id, CASE p_partkey % 4 WHEN 0 THEN 'keep_all' WHEN 1 THEN 'preserve_icc' WHEN 2 THEN 'preserve_exif' ELSE 'strip_all' END AS policy,
+      CASE WHEN p_partkey % 3 <> 0 THEN hex('MM exif of ' || CAST(p_partkey AS VARCHAR(20))) END AS exif,
+      CASE WHEN p_partkey % 5 <> 0 THEN hex('profile ' || p_brand) END AS icc,
+      CASE WHEN p_partkey % 7 <> 0 THEN hex('<x>' || CAST(p_partkey AS VARCHAR(20)) || '</x>') END AS xmp,
+      CASE WHEN p_partkey % 11 <> 0 THEN hex('record ' || CAST(p_partkey AS VARCHAR(20))) END AS iptc
+    FROM {part}
+  ) AS p
+) AS p""",
+    # simple and extended WebP files
+    "webp": """
+SELECT *, '52494646' || '00000000' || '57454250' || own AS content FROM (
+  SELECT *, before || image || after AS own FROM (
+    SELECT p_partkey AS req_id, p_partkey % 4 AS shape, hex('exif ' || CAST(p_partkey AS VARCHAR(20))) AS exif,
+      CASE WHEN p_partkey % 3 <> 0 THEN hex('icc' || CAST(p_partkey AS VARCHAR(20))) END AS icc, hex('<x>new</x>') AS xmp,
+      CASE p_partkey % 4 WHEN 2 THEN '565038580A000000' || '14000000' || '090000' || '130000' ELSE '' END AS before,
+      CASE p_partkey % 4 WHEN 1 THEN '5650384C05000000' || '2F09C00410' || '00' ELSE '565038200A000000' || '0000009D012A0A001400' END AS image,
+      CASE p_partkey % 4 WHEN 2 THEN '584D502007000000' || hex('<x>old<') || '00' ELSE '' END AS after
+    FROM {part}
+  ) AS p
 ) AS p""",
     # source and target sizes in volume
     "dims": """
