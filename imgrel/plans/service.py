@@ -385,13 +385,32 @@ _SVG = """SELECT page_id, '<svg xmlns="http://www.w3.org/2000/svg"><style>@impor
 
 def g2_sanitize(spark, sf):
     made = spark.sql(_SVG + f"parquet.`{sf}/pages.parquet`")
-    return made.select("page_id", svg.sanitize(F.col("svg")).alias("clean"), media.is_svg(F.col("svg")).alias("is_svg"))
+    return made.select("page_id", svg.sanitize(F.encode("svg", "UTF-8"))["clean"].alias("clean"), media.is_svg(F.col("svg")).alias("is_svg"))
 
 
 G2 = """SELECT page_id, '<svg xmlns="http://www.w3.org/2000/svg"><style> a{fill:url(' || CASE page_id % 3 WHEN 0 THEN '#g' WHEN 1 THEN '' ELSE 'data:image/png;base64,AA' END || ')}</style>'
   || '<rect width="' || page_id || '"/>' || '<a' || CASE page_id % 4 WHEN 0 THEN ' xlink:href="#ok"' WHEN 3 THEN ' xlink:href="data:image/gif;x"' ELSE '' END || '>t</a></svg>' AS clean, true AS is_svg FROM pages"""
 
 
+def g3_hostile(spark, sf):
+    """Prefixed and nested active elements, prefixed links, styles with nested parentheses, and images that do not parse."""
+    n = F.col("page_id") % 9
+    body = F.element_at(F.array(*map(F.lit, [source for source, _ in _HOSTILE])), (n + 1).cast("int"))
+    made = view(spark, sf, "pages").select("page_id", svg.sanitize(F.encode(F.concat(F.lit("<svg>"), body, F.lit("</svg>")), "UTF-8")).alias("s"))
+    return made.select("page_id", "s.clean", F.substring_index("s.error", ":", 1).alias("error"))
+
+
+_HOSTILE = [
+    ("<svg:script>x</svg:script>", ""), ("<foreignObject><g><foreignObject/></g>y</foreignObject><g/>", "<g/>"),
+    ("<s:A x:HREF='file:///e' b=\"1\">t</s:A>", '<s:A b="1">t</s:A>'), ("<style>a{b:url(c(d)e)} f{g:url( '#h' )}</style>", "<style>a{b:url()} f{g:url( '#h' )}</style>"),
+    ("<style><![CDATA[@IMPORT 'a';b>c{d:URL(//e)}]]></style>", "<style>b&gt;c{d:url()}</style>"), ("<g style='a:url(http://b);c:d' ONload='e'/>", '<g style="a:url();c:d"/>'),
+    ("<g xml:base='http://a' on='b'><!--c--><![CDATA[<d>]]></g>", '<g on="b"><!--c--><![CDATA[<d>]]></g>'), ("<g>", None), ("&#106;<a href='&#106;avascript:x'/>&amp;", "j<a/>&amp;"),
+]
+G3 = "SELECT page_id, CASE page_id % 9 " + " ".join(
+    f"WHEN {k} THEN '" + f"<svg>{clean}</svg>".replace("'", "''") + "'" for k, (_, clean) in enumerate(_HOSTILE) if clean is not None
+) + " END AS clean, CASE WHEN page_id % 9 = 7 THEN 'DecodeFailed' END AS error FROM pages"
+
+
 def g4_links(spark, sf):
     href = F.when(F.col("page_id") % 6 == 0, "").when(F.col("page_id") % 6 == 1, "  #frag").when(F.col("page_id") % 6 == 2, "DATA:image/PNG;base64,x").when(
         F.col("page_id") % 6 == 3, "data:image/svg+xml,x").when(F.col("page_id") % 6 == 4, "data:text/html,x").otherwise(F.col("url"))
@@ -417,5 +436,5 @@ QUERIES = {
     "h1_hysteresis": (h1_hysteresis, H1), "h2_readiness": (h2_readiness, H2), "o1_counters": (o1_counters, O1), "o2_histogram": (o2_histogram, O2),
     "o3_statuses": (o3_statuses, O3), "o4_rate": (o4_rate, O4), "o4_hit_ratio": (o4_hit_ratio, O4B), "o4_quantile": (o4_quantile, O4C),
     "k4_problems": (k4_problems, K4), "k6_access_log": (k6_access_log, K6), "k7_exposition": (k7_exposition, K7),
-    "g2_sanitize": (g2_sanitize, G2), "g4_links": (g4_links, G4), "g7_straight": (g7_straight, G7),
+    "g2_sanitize": (g2_sanitize, G2), "g3_hostile": (g3_hostile, G3), "g4_links": (g4_links, G4), "g7_straight": (g7_straight, G7),
 }

@@ -109,8 +109,23 @@ def test_jpeg_frame_after_many_segments_and_fill_bytes(spark):
 
 
 def test_svg_cleaning(spark):
-    found = values(spark, svg.sanitize, ['<svg><script>x</script><a href="#b" onclick="y"/></svg>', '<svg><a href="javascript:x"/></svg>', "<svg><style>a{fill:url(http://e)}</style></svg>"])
-    assert found == ['<svg><a href="#b"/></svg>', "<svg><a/></svg>", "<svg><style>a{fill:url()}</style></svg>"]
+    found = values(spark, lambda t: svg.sanitize(t.cast("binary"))["clean"], ['<svg><script>x</script><a href="#b" onclick="y"/></svg>', '<svg><a href="javascript:x"/></svg>', "<svg><style>a{fill:url(http://e)}</style></svg>", None])
+    assert found == ['<svg><a href="#b"/></svg>', "<svg><a/></svg>", "<svg><style>a{fill:url()}</style></svg>", None]
+
+
+def test_svg_cleaning_of_odd_images():
+    clean = lambda text: svg.cleaned(text if isinstance(text, bytes) else text.encode())
+    head = '<!DOCTYPE svg [<!ENTITY e "<script>x</script><b>y</b>">]>'
+    assert clean(head + "<svg>&e;</svg>") == ("<!DOCTYPE svg><svg><b>y</b></svg>", None)
+    assert clean("<svg><style>@im<x/>port url(e);a{}</style></svg>") == ("<svg><style>a{}</style></svg>", None)
+    assert clean('<?xml version="1.0" encoding="ISO-8859-1"?><svg a="&#10;&quot;">\u00e9</svg>') == ('<?xml version="1.0" encoding="ISO-8859-1"?><svg a="&#10;&quot;">\u00e9</svg>', None)
+    assert clean(b"<svg>\xff</svg>")[1].startswith("DecodeFailed") and clean("")[1].startswith("DecodeFailed")
+    deep = "<g>" * svg.MAX_DEPTH + "</g>" * svg.MAX_DEPTH
+    assert clean(deep)[0] == deep and clean(f"<svg>{deep}</svg>")[1].startswith("LimitExceeded")
+    many = "<svg>" + "<a/>" * (svg.MAX_ELEMENTS - 1)
+    assert clean(many + "</svg>")[1] is None and clean(many + "<b/></svg>")[1].startswith("LimitExceeded")
+    long = "<svg><style>" + "a{b:url(c)}" * 20_000 + "</style></svg>"
+    assert clean(long)[0] == long.replace("url(c)", "url()")
 
 
 def test_eviction_removes_the_oldest_until_the_rest_fits(spark):
