@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, langid, lexical, lines, packing, pii, quality, simhash, vectors
+from . import bpe, chat, exact, langid, lexical, licenses, lines, lloyd, packing, pii, quality, simhash, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_exact_dedup": exact.op9_exact_dedup,
         "op10_chat": chat.op10_chat,
+        "op11_licenses": licenses.op11_licenses,
+        "op12_clusters": lloyd.op12_clusters,
         "op13_search": lexical.op13_search,
     }
 
@@ -30,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_vectors": vectors.OP1_SQL,
         "op9_exact_dedup": exact.OP9_SQL,
         "op10_chat": chat.OP10_SQL,
+        "op12_clusters": lloyd.OP12_SQL,
         "op13_search": lexical.OP13_SQL,
     }
