@@ -14,7 +14,6 @@ dimensions) come to the driver.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_dir, table
+from .shared import Buckets, materialize, table
 
 CLUSTERS, ROUNDS, LENGTH, SCALE, SALT = 8, 10, 64, 1024, 3
 #: Components beyond this count as this.
@@ -119,26 +118,6 @@ def _round(rows: DataFrame, centroids: list[list[int]], changed: list[int]) -> D
     return rows.select("row_id", "q", "cluster", "distance").mapInArrow(run, _STATE)
 
 
-class _Buckets:
-    """Tables bucketed by row_id, alike, so that they are joined where they lie."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.run, self.names = spark, uuid.uuid4().hex, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def write(self, rows: DataFrame) -> DataFrame:
-        name = f"lloyd_{self.run}_{len(self.names)}"
-        self.names.append(name)
-        (rows.write.format("parquet").option("path", f"{shared_dir(self.spark)}/{name}")
-         .bucketBy(self.buckets, "row_id").sortBy("row_id").saveAsTable(name))
-        return self.spark.table(name)
-
-    def close(self) -> None:
-        """Forget the catalog's entries; the data stay."""
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def cluster(
     vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, length: int = LENGTH, scale: int = SCALE, salt: int = SALT
 ) -> DataFrame:
@@ -154,7 +133,7 @@ def cluster(
     """
     spark = vectors.sparkSession
     out = f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
-    tables = _Buckets(spark)
+    tables = Buckets(spark, "row_id")
     rows = quantized(vectors, length, scale).withColumn("row_id", F.monotonically_increasing_id())
     rows = tables.write(rows.repartition(tables.buckets, "row_id"))
     centroids = first_by_hash(rows, clusters, salt)

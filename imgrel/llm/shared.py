@@ -50,6 +50,33 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Buckets:
+    """Tables bucketed and sorted by the same column, so that they are joined where they lie."""
+
+    def __init__(self, spark: SparkSession, key: str):
+        self.spark, self.key, self.run, self.names = spark, key, uuid.uuid4().hex, []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
+    def write(self, rows: DataFrame, compression: str = "snappy") -> DataFrame:
+        name = f"buckets_{self.run}_{len(self.names)}"
+        self.names.append(name)
+        (rows.write.format("parquet").option("path", self.path(name)).option("compression", compression)
+         .bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(name))
+        return self.spark.table(name)
+
+    def files(self, at: int) -> DataFrame:
+        """A table as files without buckets: a join with it is shuffled, and so may be split where a key is hot."""
+        return self.spark.read.schema(self.spark.table(self.names[at]).schema).parquet(self.path(self.names[at]))
+
+    def close(self) -> None:
+        """Forget the catalog's entries; the data stay."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def look_up(rows: DataFrame, facts: DataFrame, key: str, copies: Column, share: int = HOT_SHARE) -> DataFrame:
     """``rows`` joined with ``facts``, which has one row for each ``key`` and the number of ``rows`` with it in ``copies``.
 

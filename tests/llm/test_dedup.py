@@ -164,55 +164,6 @@ def test_a_batch_may_be_given_again(spark, tmp_path):
     assert exact.keep_first(other, again, "thursday").count() == 0
 
 
-def slow_chunks(text, window=lines.WINDOW, mean=lines.MEAN_LINES):
-    rows = text.split("\n")
-    signed = lambda h: h - (1 << 64) if h >> 63 else h
-    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in rows]
-    out, start = [], 0
-    for k in range(len(rows)):
-        rolling = 42
-        for back in range(window):
-            if k - back >= 0:
-                rolling = xxhash.xxh64_intdigest(hashes[k - back].to_bytes(8, "little"), rolling)
-        if k == len(rows) - 1 or signed(rolling) % mean == 0:
-            out.append(rows[start : k + 1])
-            start = k + 1
-    return out
-
-
-def slow_dedup_lines(rows):
-    seen, out = {}, {}
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0])):
-        if t is None:
-            continue
-        kept = []
-        for at, part in enumerate(slow_chunks(t)):
-            key = "\n".join(part)
-            if len(part) >= 2 and key.strip():
-                if seen.setdefault(key, (i, at)) != (i, at):
-                    continue
-            kept.append(key)
-        out[i] = "\n".join(kept)
-    return out
-
-
-def test_line_dedup_is_brute_force(spark):
-    rng = random.Random(1)
-    passages = [[f"line {rng.random()}" for _ in range(8)] for _ in range(5)]
-    rows = [(1, None), (2, ""), (3, "one line"), (4, "\n\n\n\n\n"), (5, "\n\n\n\n\n"), (6, "\n".join(f"l{k}" for k in range(5000)))]
-    for i in range(10, 60):
-        own = [f"own {i} {k}" for k in range(rng.randint(0, 6))]
-        at = rng.randint(0, len(own))
-        rows.append((i, "\n".join(own[:at] + rng.choice(passages) + own[at:])))
-    rows += [(60, rows[-1][1]), (61, rows[5][1] + "\nlast"), (None, rows[8][1])]
-    found = lines.dedup_lines(docs(spark, rows)).collect()
-    want = slow_dedup_lines(rows)
-    assert len(found) == len(rows) and sum(r.n_removed for r in found) > 50
-    assert {r.doc_id: r.text for r in found if r.text is not None} == want
-    assert [r.text for r in found if r.doc_id == 1] == [None]
-    assert lines.dedup_lines(docs(spark, [])).count() == 0
-
-
 def slow_passages(rows):
     """Kept lines by (doc_id, text): all runs of two lines of text in the order of places, by comparing them."""
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0, lines_hash(r[1])))
@@ -260,12 +211,91 @@ def test_passages_are_brute_force(spark):
     assert lines.dedup_passages(docs(spark, [])).count() == 0
 
 
-def test_every_repeated_run_of_the_table_is_found(spark, sf_dir):
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_chunks(text, gap):
+    """Chunks again, as ``(first line, last line)``; Spark's hash of an int and two longs is chained by seeds."""
+    hashes = []
+    for line in text.split("\n"):
+        h = (xxhash.xxh64_intdigest(line.encode(), 42) << 1) & (1 << 64) - 1
+        hashes.append(signed(h | 1 if re.search(r"\S", line, re.A) else h))
+    solid = [k for k, h in enumerate(hashes) if h & 1]
+
+    def chosen(k, side):
+        h = xxhash.xxh64_intdigest(side.to_bytes(4, "little"), 42)
+        for x in (hashes[solid[k]], hashes[solid[k + 1]]):
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+        return signed(h) % gap != 0
+
+    out = []
+    for k in range(len(solid) - 1):
+        if chosen(k, 0):
+            end = k + 1
+            while end < len(solid) - 1 and end < k + lines.MOST and not chosen(end - 1, 1):
+                end += 1
+            out.append((solid[k], solid[end]))
+    return out
+
+
+def slow_anchored(rows, gap):
+    """Kept lines by row: chunks find earlier places, what is equal around them goes."""
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, lines_hash(r[1])))
+    first, out = {}, []
+    parts_of = [r[1].split("\n") for r in order]
+    found = []
+    for n, parts in enumerate(parts_of):
+        for at, until in slow_chunks(order[n][1], gap) if "\n" in order[n][1] else []:
+            where = first.setdefault(tuple(parts[at : until + 1]), (n, at))
+            if where[0] != n or at - where[1] > until - at:
+                found.append((n, where[0], at - where[1]))
+    drop = [set() for _ in order]
+    for a, b, shift in set(found):
+        mine, theirs = parts_of[a], parts_of[b]
+        same = [0 <= i - shift < len(theirs) and mine[i] == theirs[i - shift] for i in range(len(mine))]
+        solid = [i for i in range(len(mine)) if re.search(r"\S", mine[i], re.A)]
+        for i, j in zip(solid, solid[1:]):
+            if all(same[i : j + 1]) and (a != b or j - i < shift):
+                drop[a] |= set(range(i, j + 1))
+    return sorted(str((r[0], "\n".join(x for k, x in enumerate(p) if k not in d))) for r, p, d in zip(order, parts_of, drop))
+
+
+@pytest.mark.parametrize("gap", [2, 3, 8])
+def test_anchored_passages_are_brute_force(spark, gap):
+    rng = random.Random(gap)
+    passages = [[f"line {rng.random()}" for _ in range(n)] for n in (2, 3, 4, 6, 8, 30)]
+    passages[3][2] = " "
+    rows = [(1, None), (2, ""), (3, "one line"), (4, "\n\n\n"), (6, "a\n" * 7), (7, "a\nb\n" * 4), (8, "a\n\nb"), (9, "a\n\na\n\na\n\na\nc")]
+    for i in range(11, 60):
+        own = [f"own {i} {k}" for k in range(rng.randint(0, 6))]
+        at = rng.randint(0, len(own))
+        passage = rng.choice(passages)
+        start = rng.randint(0, len(passage) - 2)
+        rows.append((i, "\n".join(own[:at] + passage[start:] + own[at:])))
+    rows += [(80, rows[-1][1]), (None, "u\nv\n" + rows[20][1]), (None, "u\nv\nw"), (80, "x\ny\nz")]
+    found = lines.dedup_passages(docs(spark, rows), gap=gap).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in found if r.text is not None) == slow_anchored(rows, gap)
+    assert len(found) == len(rows) and sum(r.n_removed for r in found) > 20
+    left = {x for r in found if r.text for x in r.text.split("\n")}
+    assert {x for _, t in rows if t for x in t.split("\n") if x.strip()} <= left
+
+
+def test_query_finds_most_repeated_runs_of_the_table(spark, sf_dir):
     """Recall of the query against an independent search for repeated line runs."""
     from imgrel.llm import queries
 
     table = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    check_passages(table, queries.queries()["op5_lines"](spark, sf_dir).collect())
+    want, found = slow_passages(table), queries.queries()["op5_lines"](spark, sf_dir).collect()
+    texts, gone, repeated = dict(table), 0, 0
+    for r in found:
+        if r.text is not None:
+            whole, least = texts[r.doc_id].count("\n"), want[r.doc_id, texts[r.doc_id]].count("\n")
+            repeated += whole - least
+            gone += whole - r.text.count("\n")
+    assert len(found) == len(table) and repeated and 0.9 * repeated <= gone <= repeated
+    left = {x for r in found if r.text for x in r.text.split("\n")}
+    assert {x for _, t in table if t for x in t.split("\n") if x.strip()} <= left
 
 
 def slow_vectors(rows):
