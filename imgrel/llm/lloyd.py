@@ -151,12 +151,10 @@ def cluster(
         state = written.where("row_id IS NOT NULL")
         if turn == rounds:
             break
-        moved = written.where("row_id IS NULL")
-        for r in moved.groupBy("cluster").agg(F.sum("n").alias("n")).collect():
+        added = F.array(*(F.sum(F.col("sums")[at]) for at in range(length)))
+        for r in written.where("row_id IS NULL").groupBy("cluster").agg(F.sum("n").alias("n"), added.alias("x")).collect():
             counts[r.cluster] += r.n
-        components = moved.select("cluster", F.posexplode("sums").alias("at", "x")).groupBy("cluster", "at")
-        for r in components.agg(F.sum("x").alias("x")).collect():
-            sums[r.cluster][r.at] += int(r.x)
+            sums[r.cluster] = [s + int(x) for s, x in zip(sums[r.cluster], r.x)]
         means = [[x // n for x in s] if n else c for s, n, c in zip(sums, counts, centroids)]
         changed = [k for k, (old, new) in enumerate(zip(centroids, means)) if old != new]
         centroids = means
