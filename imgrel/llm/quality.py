@@ -9,7 +9,8 @@ indicators a linear model with hinge loss is fitted by dual coordinate descent.
 
 The fit uses a bounded sample of labelled rows (``max_rows``, the first by a
 hash of doc_id, of those as many as have ``max_features`` indicators
-together); every text is scored whole, in pieces of a fixed size.
+together); every text is scored whole, in pieces that end at the first white
+space after a fixed size, so only a text without any is looked at in one.
 """
 
 from __future__ import annotations
@@ -204,8 +205,9 @@ def train(
     At most ``max_rows`` labels (the first by a hash of doc_id) are looked up
     in ``docs``; this bounds the broadcast, the driver's memory and the time of
     the fit at any input size.  Rows from the same order on which the indicators
-    would be more than ``max_features`` are left out.  Of contradictory labels the lower one counts;
-    null labels and ids are ignored.
+    would be more than ``max_features`` are left out.  Of contradictory labels the lower one counts, and
+    of documents with one doc_id the text with the smallest hash, so a label gives one row however often
+    its id repeats; null labels and ids are ignored.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
@@ -213,9 +215,9 @@ def train(
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         .select(F.col("doc_id").alias("labelled_id"), F.col("quality").alias("label"))
     )
-    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select(
-        "label", F.xxhash64("doc_id").alias("place"), "text"
-    )
+    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).groupBy(
+        "labelled_id", "label"
+    ).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", F.xxhash64("labelled_id").alias("place"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes(bits)
@@ -227,9 +229,9 @@ def train(
 
     rows = materialize(pairs.mapInArrow(run, "label int, place long, features binary"))
     sizes = rows.select("place", F.octet_length("features").alias("size")).toPandas().sort_values(["place", "size"])
-    within = sizes["place"][sizes["size"].cumsum() <= 4 * max_features]
-    if len(within) < len(sizes):
-        rows = rows.where(F.col("place") <= int(within.max()) if len(within) else F.lit(False))
+    beyond = sizes["place"][sizes["size"].cumsum() > 4 * max_features]
+    if len(beyond):
+        rows = rows.where(F.col("place") < int(beyond.iloc[0]))
     rows = rows.toPandas().sort_values(["features", "label"])  # the same fit whatever the order of arrival
     return fit([np.frombuffer(x, "<i4") for x in rows["features"]], (rows["label"] == 1).to_numpy(), bits)
 

@@ -1,5 +1,6 @@
 """Tokens, packing, personal data, classifiers, languages, chats."""
 
+import math
 import random
 import re
 import zlib
@@ -225,6 +226,76 @@ def test_fit_is_bounded_by_indicators(spark):
     assert all_rows.weights.any() and few.weights.any() and not none.weights.any()
 
 
+def test_a_repeated_id_gives_one_row(spark):
+    """However often a labelled doc_id stands in the table, the fit gets one row of it."""
+    rows = [(1, f"one of many texts {k}") for k in range(3000)] + [(2, "bad ### text"), (3, "good text"), (3, "good text"), (4, None), (4, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4)], "doc_id long, quality int")
+    seen = []
+
+    def fit(features, positive, bits):
+        seen.append((len(features), sum(map(len, features))))
+        return real(features, positive, bits)
+
+    real, quality.fit = quality.fit, fit
+    try:
+        one = quality.train(docs(spark, rows), labels)
+        again = quality.train(docs(spark, rows[::-1]).repartition(3), labels)
+        quality.train(docs(spark, rows), labels, max_features=100)
+    finally:
+        quality.fit = real
+    kept = [i for i in (1, 2, 3, 4) if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0] == seen[1] and seen[0][0] == len(kept) and seen[2][1] <= 100
+    assert (one.weights == again.weights).all()
+
+
+def slow_scores(rows, positive, size, cost=1.0, epochs=20):
+    """The fit again in plain Python: ratios of log counts, then one dual variable at a time; returns the scores of the rows."""
+    counts = {c: {} for c in (0, 1)}
+    for features, label in zip(rows, positive):
+        for f in features:
+            counts[int(label)][f] = counts[int(label)].get(f, 0) + 1
+    total = {c: size + sum(counts[c].values()) for c in (0, 1)}
+    ratio = lambda f: math.log(((counts[1].get(f, 0) + 1) / total[1]) / ((counts[0].get(f, 0) + 1) / total[0]))
+    values = []
+    for features in rows:
+        x = [ratio(f) for f in features]
+        length = math.sqrt(sum(v * v for v in x) + 1)
+        values.append([float(np.float32(v / length)) for v in x])  # the fit keeps them in single precision
+    most = [cost * 0.5 * len(rows) / sum(p == q for q in positive) for p in positive]
+    alpha, weights, bias = [0.0] * len(rows), {}, 0.0
+    order, active = np.random.default_rng(7), list(range(len(rows)))
+    for epoch in range(epochs):
+        active = list(range(len(rows))) if epoch % 5 == 0 else active
+        largest, moved = 0.0, []
+        for k in order.permutation(np.array(active, np.int64)):
+            sign = 1 if positive[k] else -1
+            margin = sum(weights.get(f, 0.0) * v for f, v in zip(rows[k], values[k])) + bias
+            new = min(max(alpha[k] - (sign * margin - 1) / (sum(v * v for v in values[k]) + 1), 0.0), most[k])
+            step = (new - alpha[k]) * sign
+            if step:
+                for f, v in zip(rows[k], values[k]):
+                    weights[f] = weights.get(f, 0.0) + step * v
+                bias, alpha[k], largest = bias + step, new, max(largest, abs(step))
+                moved.append(k)
+        active = moved
+        if largest < 1e-3 and epoch % 5 == 0:
+            break
+    margins = [sum(weights.get(f, 0.0) * v for f, v in zip(x, y)) + bias for x, y in zip(rows, values)]
+    return [1 / (1 + math.exp(-2 * m)) for m in margins]
+
+
+def test_scores_are_those_of_plain_python(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = table.join(labels, "doc_id").where(~quality.held_out(F.col("doc_id"), 5, 0)).orderBy("doc_id").select("text", "quality").collect()
+    rows = [r for r in rows if len(r.text or "") < 3000]
+    shapes = quality.Shapes()
+    features, positive = [shapes.features(r.text) for r in rows], [r.quality == 1 for r in rows]
+    model = quality.fit(features, np.array(positive))
+    assert len(set(positive)) == 2
+    want = slow_scores([f.tolist() for f in features], positive, 1 << quality.BITS)
+    assert np.allclose([model.score(f) for f in features], want, atol=1e-3)
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 40, 8) + 40 * (k % 2)) for k in range(60)]
