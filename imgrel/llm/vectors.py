@@ -16,6 +16,10 @@ has left of the budget there.  What is still large is dealt into parts; a task
 holds the home vectors of one part and streams the rest past them.  It returns
 sums of links and a spanning forest, not pairs.
 
+A vector of d dimensions lies in some 70 cells for each 64 of them, so its cost
+grows with the square of d.  Vectors longer than ``MAX_LENGTH`` are therefore
+not split into blocks: they travel once for each part of ``MAX_HOMES`` of them.
+
 Vectors travel whole: ids and coordinates would do for the grid, but then every
 pair that a block lets pass would have to be sent to where its vectors are,
 and in a group of near copies these are all pairs.
@@ -36,6 +40,8 @@ from .shared import components, look_up, materialize, merge_labels, table
 COSINE = 0.95
 BLOCK_DIMS, GRID_DIMS = 8, 5
 MAX_HOMES = 4096
+#: Longer vectors are one block in one cell: all pairs of them are compared, part by part.
+MAX_LENGTH = 4096
 _FIELD = 7  # bits of a grid coordinate in a cell's key
 
 
@@ -45,9 +51,10 @@ class Subspaces:
     def __init__(self, length: int, cosine: float):
         self.length = length
         self.padded = 1 << max(0, length - 1).bit_length()
-        self.dims = min(BLOCK_DIMS, self.padded)
+        self.dims = min(BLOCK_DIMS, self.padded) if length <= MAX_LENGTH else self.padded
         self.blocks = self.padded // self.dims
-        self.grid = min(GRID_DIMS, self.dims)
+        self.grid = min(GRID_DIMS, self.dims) if self.blocks > 1 or length <= MAX_LENGTH else 0
+        self.rest = min(self.dims, BLOCK_DIMS) - self.grid if self.grid else 0
         total = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
         self.budget = total / self.blocks
         self.side = max(np.sqrt(self.budget) * (1 + 1e-9), 2 / np.sqrt(self.padded), 1 / 60)
@@ -55,12 +62,12 @@ class Subspaces:
         self.signs = draw.integers(0, 2, (2, self.padded)) * 2.0 - 1
         # the neighbours after the home cell, so that of two cells one gets the other's vectors
         steps = [s for s in product((-1, 0, 1), repeat=self.grid) if s > (0,) * self.grid]
-        self.steps = np.array(steps, np.int64).reshape(-1, self.grid)
+        self.steps = np.array(steps, np.int64).reshape(len(steps), self.grid)
         self.below = (self.steps == -1).astype(float)
         self.above = (self.steps == 1).astype(float)
         # of the second grid all neighbours, the cell itself first
-        steps = sorted(product((-1, 0, 1), repeat=self.dims - self.grid), key=any)
-        self.fine_steps = np.array(steps, np.int64).reshape(len(steps), self.dims - self.grid)
+        steps = sorted(product((-1, 0, 1), repeat=self.rest), key=any)
+        self.fine_steps = np.array(steps, np.int64).reshape(len(steps), self.rest)
         self.fine_later = np.array([s >= (0,) * len(s) for s in steps])
 
     def units(self, vectors: np.ndarray) -> np.ndarray:
@@ -88,31 +95,30 @@ class Subspaces:
         for block in range(self.blocks):
             at = rotated[:, block * self.dims : block * self.dims + self.grid]
             cell = np.floor(at / self.side).astype(np.int64)
-            code = (self.length << 47) | (block << 35)
-            yield np.arange(len(at)), code | ((cell + 64) << places).sum(axis=1), True
+            yield np.arange(len(at)), ((cell + 64) << places).sum(axis=1), True
             if homes_only:
                 continue
             down = np.square(at - cell * self.side)
             up = np.square((cell + 1) * self.side - at)
             rows, which = np.nonzero(down @ self.below.T + up @ self.above.T <= self.budget + 1e-9)
-            yield rows, code | ((cell[rows] + self.steps[which] + 64) << places).sum(axis=1), False
+            yield rows, ((cell[rows] + self.steps[which] + 64) << places).sum(axis=1), False
 
     def fine(self, rotated: np.ndarray, block: int) -> np.ndarray:
         """The home cells of the second grid over the rest of a block."""
-        at = rotated[:, block * self.dims + self.grid : (block + 1) * self.dims]
+        start = block * self.dims + self.grid
+        at = rotated[:, start : start + self.rest]
         return ((np.floor(at / self.side).astype(np.int64) + 64) << (_FIELD * np.arange(at.shape[1]))).sum(axis=1)
 
-    def split(self, rotated: np.ndarray, keys: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def split(self, rotated: np.ndarray, blocks: np.ndarray, keys: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """``(rows, fine cells, home)`` of rows in hot cells.
 
         Of two home vectors the earlier one's is copied to the later one's
         fine cell; a copy goes to all that its budget still reaches.
         """
-        blocks = (keys >> 35) & 0xFFF
         for block in np.unique(blocks):
             own = np.flatnonzero(blocks == block)
             at = rotated[own, block * self.dims : (block + 1) * self.dims]
-            near, rest = at[:, : self.grid], at[:, self.grid :]
+            near, rest = at[:, : self.grid], at[:, self.grid : self.grid + self.rest]
             low = (((keys[own, None] >> (_FIELD * np.arange(self.grid))) & 127) - 64) * self.side
             spent = np.square(np.maximum(np.maximum(low - near, near - low - self.side), 0)).sum(axis=1)
             cell = np.floor(rest / self.side).astype(np.int64)
@@ -137,8 +143,9 @@ class Subspaces:
                 x, y = x + i, y + j
                 if same:
                     x, y = x[x < y], y[x < y]
-                for k in range(0, len(x), 1 << 14):
-                    u, v = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+                step = max(1, (1 << 20) // self.padded)
+                for k in range(0, len(x), step):
+                    u, v = x[k : k + step], y[k : k + step]
                     diff = ra[u] - rb[v]
                     kept = (diff * diff).reshape(len(u), self.blocks, self.dims).sum(axis=2) <= self.budget
                     first = kept[:, block] & ~kept[:, :block].any(axis=1)
@@ -151,12 +158,9 @@ class Subspaces:
 class _Group:
     """The home vectors of one part of a cell, and the links found with them."""
 
-    def __init__(self, key: int, cosine: float, spaces: dict[int, Subspaces]):
-        length, self.block = key >> 47, (key >> 35) & 0xFFF
-        if length not in spaces:
-            spaces[length] = Subspaces(length, cosine)
-        self.space = spaces[length]
-        self.cosine, self.waiting, self.ids = cosine, [], None
+    def __init__(self, space: Subspaces, block: int, cosine: float):
+        self.space, self.block, self.cosine = space, block, cosine
+        self.waiting, self.ids = [], None
 
     def add_homes(self, ids: np.ndarray, counts: np.ndarray, units: np.ndarray) -> None:
         self.waiting.append((ids, counts, units))
@@ -199,6 +203,9 @@ class _Group:
             out.append((self.ids[linked], self.ids[self.labels[linked]], self.found[linked]))
 
 
+_CELL = "space int, block int, key long"
+
+
 def _links(classes: DataFrame, cosine: float, max_homes: int) -> DataFrame:
     """``(a, b, links)``: a is linked to b (or is b), and has so many more links."""
     kind = "<f4" if dict(classes.dtypes)["embedding"] == "array<float>" else "<f8"
@@ -213,7 +220,7 @@ def _links(classes: DataFrame, cosine: float, max_homes: int) -> DataFrame:
                 space = space_of(spaces, length)
                 rotated = space.rotate(space.units(np.stack(part["embedding"].to_numpy()).astype(np.float64)))
                 for block, (_, keys, _) in enumerate(space.cells(rotated, homes_only=True)):
-                    yield pd.DataFrame({"key": keys, "fine": space.fine(rotated, block)})
+                    yield pd.DataFrame({"space": length, "block": block, "key": keys, "fine": space.fine(rotated, block)})
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces: dict[int, Subspaces] = {}
@@ -223,63 +230,69 @@ def _links(classes: DataFrame, cosine: float, max_homes: int) -> DataFrame:
                 vectors = np.stack(part["embedding"].to_numpy())
                 packed = np.array([v.tobytes() for v in vectors.astype(kind)], object)
                 ids, counts = part["class_id"].to_numpy(), part["copies"].to_numpy()
+                block = -1
                 for rows, keys, home in space.cells(space.rotate(space.units(vectors.astype(np.float64)))):
+                    block += home
                     if len(rows):
-                        yield pd.DataFrame({"key": keys, "home": home, "class_id": ids[rows], "copies": counts[rows], "vector": packed[rows]})
+                        yield pd.DataFrame({
+                            "space": length, "block": block, "key": keys, "home": home, "class_id": ids[rows], "copies": counts[rows], "vector": packed[rows],
+                        })
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces: dict[int, Subspaces] = {}
         for batch in batches:
-            for length, part in batch.groupby(batch["key"] // (1 << 47)):
+            for length, part in batch.groupby("space"):
                 space = space_of(spaces, length)
                 raw = np.frombuffer(b"".join(part["vector"]), kind).reshape(len(part), -1).astype(np.float64)
-                for rows, fine, home in space.split(space.rotate(space.units(raw)), part["key"].to_numpy(), part["home"].to_numpy()):
+                blocks, keys, home = (part[c].to_numpy() for c in ("block", "key", "home"))
+                for rows, fine, home in space.split(space.rotate(space.units(raw)), blocks, keys, home):
                     yield part.iloc[rows].assign(fine=fine, home=home)
 
     # Spark broadcasts these two while they are small: a row stands for more than max_homes vectors in a block
-    sizes = materialize(classes.mapInPandas(homes, "key long, fine long").groupBy("key", "fine").agg(F.count(F.lit(1)).alias("n")))
-    hot = materialize(sizes.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > max_homes).select("key", F.lit(True).alias("hot")))
-    large = materialize(sizes.join(hot, "key").where(F.col("n") > max_homes).select(
-        "key", "fine", F.ceil(F.col("n") / max_homes).cast("int").alias("parts")
+    cell = ["space", "block", "key"]
+    sizes = materialize(classes.mapInPandas(homes, f"{_CELL}, fine long").groupBy(*cell, "fine").agg(F.count(F.lit(1)).alias("n")))
+    hot = materialize(sizes.groupBy(*cell).agg(F.sum("n").alias("n")).where(F.col("n") > max_homes).select(*cell, F.lit(True).alias("hot")))
+    large = materialize(sizes.join(hot, cell).where(F.col("n") > max_homes).select(
+        *cell, "fine", F.ceil(F.col("n") / max_homes).cast("int").alias("parts")
     ))
     row = "class_id long, copies long, vector binary"
-    cells = classes.mapInPandas(spread, f"key long, home boolean, {row}").join(hot, "key", "left")
+    cells = classes.mapInPandas(spread, f"{_CELL}, home boolean, {row}").join(hot, cell, "left")
     usual = cells.where("hot IS NULL").withColumn("fine", F.lit(0).cast("long")).drop("hot")
-    fine = cells.where("hot").drop("hot").mapInPandas(split, f"key long, home boolean, {row}, fine long")
-    fine = fine.join(large, ["key", "fine"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    fine = cells.where("hot").drop("hot").mapInPandas(split, f"{_CELL}, home boolean, {row}, fine long")
+    fine = fine.join(large, [*cell, "fine"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     parts = usual.withColumn("parts", F.lit(1)).unionByName(fine)
     parts = parts.withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64("class_id"), F.col("parts"))).cast("int"))
+    group = [*cell, "fine", "part"]
     dealt = parts.select(
-        "key", "fine", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("parts") - 1)).alias("part"),
+        *cell, "fine", F.explode(F.sequence(F.coalesce("own", F.lit(0)), F.col("parts") - 1)).alias("part"),
         "own", "class_id", "copies", "vector",
-    ).select(
-        "key", "fine", "part", F.when(F.col("own") == F.col("part"), 0).otherwise(1).alias("other"), "class_id", "copies", "vector"
-    )
-    dealt = dealt.repartition("key", "fine", "part").sortWithinPartitions("key", "fine", "part", "other")
+    ).select(*group, F.when(F.col("own") == F.col("part"), 0).otherwise(1).alias("other"), "class_id", "copies", "vector")
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, "other")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spaces: dict[int, Subspaces] = {}
-        group, at, out = None, None, []
+        open_, at, out = None, None, []
         for batch in batches:
-            key, fine, part, other = (batch[c].to_numpy() for c in ("key", "fine", "part", "other"))
+            of, other = [batch[c].to_numpy() for c in group], batch["other"].to_numpy()
             ids, counts, vectors = batch["class_id"].to_numpy(), batch["copies"].to_numpy(), batch["vector"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in (key, fine, part, other)], axis=0)])
+            starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in (*of, other)], axis=0)])
             for start, end in zip(starts, np.r_[starts[1:], len(batch)]):
-                if at != (key[start], fine[start], part[start]):
-                    if group:
-                        group.finish(out)
-                    at, group = (key[start], fine[start], part[start]), _Group(int(key[start]), cosine, spaces)
+                here = tuple(int(x[start]) for x in of)
+                if at != here:
+                    if open_:
+                        open_.finish(out)
+                    at, open_ = here, _Group(space_of(spaces, here[0]), here[1], cosine)
                 raw = np.frombuffer(b"".join(vectors[start:end]), kind).reshape(end - start, -1).astype(np.float64)
-                rows = ids[start:end], counts[start:end], group.space.units(raw)
+                rows = ids[start:end], counts[start:end], open_.space.units(raw)
                 if other[start]:
-                    group.add_others(*rows, out)
+                    open_.add_others(*rows, out)
                 else:
-                    group.add_homes(*rows)
+                    open_.add_homes(*rows)
             if out:
                 yield pd.DataFrame(dict(zip(("a", "b", "links"), (np.concatenate(x) for x in zip(*out)))))
                 out = []
-        if group:
-            group.finish(out)
+        if open_:
+            open_.finish(out)
         if out:
             yield pd.DataFrame(dict(zip(("a", "b", "links"), (np.concatenate(x) for x in zip(*out)))))
 

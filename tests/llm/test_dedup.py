@@ -329,6 +329,28 @@ def test_vectors_are_brute_force(spark, max_homes):
     assert {r.vec_id: r.n_links for r in found} == counts
 
 
+@pytest.mark.parametrize("length", [2048, 4097, 40_000, 70_000])
+def test_long_vectors(spark, length):
+    """Whatever the length, links are those of brute force; beyond ``MAX_LENGTH`` there is one block."""
+    rng = np.random.default_rng(length)
+    centre = rng.normal(size=length)
+    rows = [(k, (centre + rng.normal(size=length) * s).astype(np.float32).tolist()) for k, s in enumerate((0.0, 0.15, 0.3))]
+    rows += [(10, (2 * centre).astype(np.float32).tolist())] + ([(11, rng.normal(size=length).tolist())] if length > 4000 else [])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    pairs, want = slow_vectors(rows)
+    found = vectors.near_vectors(df, max_homes=2).collect()
+    assert {r.vec_id: r.component_id for r in found} == want
+    assert {r.vec_id: r.n_links for r in found} == {i: sum(i in p for p in pairs) for i, _ in rows}
+
+
+def test_cells_of_any_length_have_keys_of_their_own():
+    for length in (40_000, 65_536, 1 << 20):
+        space = vectors.Subspaces(length, 0.95)
+        assert space.blocks == 1 and space.grid == 0
+    keys = {k for rows, k, _ in vectors.Subspaces(4096, 0.95).cells(np.zeros((1, 4096))) for k in k.tolist()}
+    assert max(keys) < 1 << 35
+
+
 def test_vectors_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(df).count() == 0
