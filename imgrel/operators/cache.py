@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.media import media_flag
+from .scan import running_sum
 
 
 def number_text(x: Column) -> Column:
@@ -75,25 +75,9 @@ def lookup(requests: DataFrame, cache: DataFrame, ttl: int) -> DataFrame:
     )
 
 
-def running_before(df: DataFrame, value: str, order: str, tie: str, width: int) -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` over all rows that come earlier in the whole table.
-
-    Rows are cut into ranges of ``order`` of a fixed width.  Sums of ranges are
-    accumulated in a small table, rows inside their range only, so no task
-    orders the whole table.
-    """
-    ranged = df.withColumn("range_", F.floor(F.col(order) / width))
-    sums = ranged.groupBy("range_").agg(F.sum(value).alias("sum_"))
-    ranges = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("range_", F.coalesce(F.sum("sum_").over(ranges), F.lit(0)).alias("start_"))
-    inside = Window.partitionBy("range_").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.withColumn("own_", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return own.join(starts, "range_").withColumn("before", F.col("start_") + F.col("own_")).drop("range_", "start_", "own_")
-
-
-def evict(entries: DataFrame, max_bytes: int, width: int = 100) -> DataFrame:
+def evict(entries: DataFrame, max_bytes: int, parts: int | None = None) -> DataFrame:
     """Entries ``(key, size, mtime)`` with ``evicted``: the oldest go until the rest fits; 0 means no limit."""
     total = entries.agg(F.sum("size").alias("total_"))
-    ranked = running_before(entries, "size", "mtime", "key", width)
-    gone = (F.lit(max_bytes) > 0) & (F.col("total_") - F.col("before") > max_bytes)
-    return ranked.crossJoin(F.broadcast(total)).withColumn("evicted", gone).drop("before", "total_")
+    ranked = running_sum(entries, [], ["mtime", "key"], "size", "before_", parts)
+    gone = (F.lit(max_bytes) > 0) & (F.col("total_") - F.col("before_") > max_bytes)
+    return ranked.crossJoin(F.broadcast(total)).withColumn("evicted", gone).drop("before_", "total_")

@@ -1,7 +1,8 @@
 """Order-dependent operators: token buckets, concurrency, hysteresis.
 
-Each key's events are sorted inside its task and streamed past a state of a
-few numbers, so a key with very many events needs time but no memory.
+A token bucket's events are sorted inside their task and streamed past a state
+of two numbers, so a key with very many events needs time but no memory.  The
+others are running values over ranges of rows, whatever the keys' shares.
 """
 
 from __future__ import annotations
@@ -9,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .scan import last_known, running_sum
 
 
 class Bucket:
@@ -48,32 +50,32 @@ def token_bucket(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return ordered.mapInPandas(run, "key long, event_id long, at double, admitted boolean")
 
 
-def in_flight(events: DataFrame) -> DataFrame:
+def in_flight(events: DataFrame, parts: int | None = None) -> DataFrame:
     """``events`` (server, event_id, start, end) with ``running``: requests of the server that run when it starts.
 
     A request that ends at that very time has ended; of requests that start
-    together the ones with smaller ids are running.
+    together the ones with smaller ids are running.  Starts and ends are one
+    running sum in ranges, so a server may have any share of the requests.
     """
-    ends = events.select("server", F.col("end").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_id"), F.lit(-1).alias("d"))
+    ends = events.select("server", F.col("end").alias("t"), F.lit(0).alias("kind"), "event_id", F.lit(-1).alias("d"))
     starts = events.select("server", F.col("start").alias("t"), F.lit(1).alias("kind"), "event_id", F.lit(1).alias("d"))
-    order = Window.partitionBy("server").orderBy("t", "kind", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    both = starts.union(ends).withColumn("running", F.coalesce(F.sum("d").over(order), F.lit(0)).cast("long"))
-    return both.where("kind = 1").select("server", "event_id", "running")
+    counted = running_sum(starts.union(ends), ["server"], ["t", "kind", "event_id"], "d", "running", parts)
+    return counted.where("kind = 1").select("server", "event_id", F.col("running").cast("long"))
 
 
-def hysteresis(samples: DataFrame, threshold: int, margin: float) -> DataFrame:
+def hysteresis(samples: DataFrame, threshold: int, margin: float, parts: int | None = None) -> DataFrame:
     """``samples`` (probe, at, value) with ``ok`` and ``recovering``; larger values are worse.
 
     A value at the threshold or above fails and one below the recovery point
     is well, whatever came before; between them the last such value decides.
-    So the state is a window's last decisive value, not a loop.
+    So the state is the last decisive value, found in ranges of rows, and a
+    probe may have any share of the samples.
     """
     recovery = int(threshold * (1.0 - margin))
     value = F.col("value")
     decisive = F.when(value >= threshold, F.lit(False)).when(value < recovery, F.lit(True))
-    order = Window.partitionBy("probe").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    ok = F.coalesce(F.last(decisive, ignorenulls=True).over(order), F.lit(True))
-    return samples.withColumn("ok", ok).withColumn("recovering", ~F.col("ok") & (value < threshold))
+    known = last_known(samples.withColumn("decisive_", decisive), ["probe"], ["at"], "decisive_", "ok", parts).drop("decisive_")
+    return known.withColumn("ok", F.coalesce("ok", F.lit(True))).withColumn("recovering", ~F.col("ok") & (value < threshold))
 
 
 def readiness(checks: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metadata, options, origin, policies, public, rasters, requests, service, wire
+from . import metadata, options, origin, policies, public, rasters, requests, service, streams, wire
 
-_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES, **metadata.QUERIES, **origin.QUERIES, **public.QUERIES}
+_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES, **metadata.QUERIES, **origin.QUERIES, **public.QUERIES, **streams.QUERIES}
 
 
 def queries():

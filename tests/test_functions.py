@@ -130,7 +130,7 @@ def test_svg_cleaning_of_odd_images():
 
 def test_eviction_removes_the_oldest_until_the_rest_fits(spark):
     entries = spark.createDataFrame([("a", 100, 1), ("b", 100, 2), ("c", 100, 3)], "key string, size long, mtime long")
-    gone = lambda most: {r.key for r in cache.evict(entries, most, width=2).where("evicted").collect()}
+    gone = lambda most: {r.key for r in cache.evict(entries, most, parts=2).where("evicted").collect()}
     assert gone(200) == {"a"} and gone(99) == {"a", "b", "c"} and gone(300) == set() and gone(0) == set()
 
 
