@@ -177,6 +177,17 @@ SELECT event_id AS req_id, CASE WHEN event_id % 4 = 0 THEN '198.51.100.7' ELSE '
     ELSE '8.8.8.8, 203.0.113.9' END AS xff,
   CASE WHEN event_id % 3 = 0 THEN '172.32.0.' || CAST(event_id % 256 AS VARCHAR(20)) END AS real_ip
 FROM {events}""",
+    # forwarded-for chains of both families; a is the third group of a hop, 40960 to 49151 of which are trusted
+    "hops": """
+SELECT *, CASE req_id % 5 WHEN 1 THEN six || ', ' || four WHEN 2 THEN four || ',' || six WHEN 3 THEN 'junk, ' || six || ' , 10.9.9.9'
+    WHEN 4 THEN '::ffff:10.0.0.1, ' || four END AS xff,
+  CASE req_id % 3 WHEN 0 THEN '2001:DB8:B000::1' WHEN 1 THEN '2606:4700::' || lower(hex(u)) END AS real_ip,
+  CASE req_id % 4 WHEN 0 THEN '198.51.100.7' WHEN 1 THEN '10.0.0.1' WHEN 2 THEN 'fd00:1::' || lower(hex(u % 256)) ELSE 'fd00:2::1' END AS peer
+FROM (
+  SELECT event_id AS req_id, user_id AS u, event_id * 4099 % 65536 AS a, '192.0.2.' || CAST(user_id % 128 AS VARCHAR(20)) AS four,
+    '2001:db8:' || lower(hex(event_id * 4099 % 65536)) || '::' || lower(hex(user_id)) AS six
+  FROM {events}
+) AS e""",
     # documents as stored objects
     "blob": """
 SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR(20)) AS object_key, coalesce(text, '') AS body,
