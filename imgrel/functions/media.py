@@ -110,19 +110,19 @@ def _compatible_brand(content: Column) -> Column:
 
 
 def is_svg(text: Column) -> Column:
-    """A BOM, a declaration, a doctype and comments may stand before ``<svg`` and a separator.
+    """A BOM, a declaration, a doctype and comments may stand before ``<svg`` and a separator, in this case of letters alone.
 
     What stands before is replaced away one kind after another, so that no
     pattern repeats a group: however many comments there are, no stack grows.
     """
     head = F.regexp_replace(F.regexp_replace(text, r"^\x{FEFF}", ""), r"^\s++", "")
-    head = F.regexp_replace(F.when(F.lower(F.substring(head, 1, 5)) == "<?xml", _after(head, "?>")).otherwise(head), r"^\s++", "")
-    head = F.regexp_replace(head, r"(?i)^<!DOCTYPE[^>]*+>\s*+", "")
+    head = F.regexp_replace(F.when(F.startswith(head, F.lit("<?xml")), _after(head, "?>")).otherwise(head), r"^\s++", "")
+    head = F.regexp_replace(head, r"^<!DOCTYPE[^>]*+>\s*+", "")
     # comments: all up to the first opening that is none
     rest = F.split(head, "-->", -1)
     plain = F.filter(rest, lambda piece: ~F.regexp_replace(piece, r"^\s++", "").startswith("<!--"))
     first = F.regexp_replace(F.coalesce(F.get(plain, 0), F.lit("")), r"^\s++", "")
-    return F.coalesce(first.rlike(r"(?i)^<svg[ \t\n\r>]"), F.lit(False))
+    return F.coalesce(first.rlike(r"^<svg[ \t\n\r>]"), F.lit(False))
 
 
 def _after(text: Column, mark: str) -> Column:

@@ -17,6 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import output_size, watermark_fits
+from ..functions.media import u
+from .rules import crop_error
+
+#: The most pixels of a decoded image, of an output, and of a watermark.
+MAX_DECODED, MAX_OUTPUT, MAX_WATERMARK = 100_000_000, 67_108_864, 4_000_000
 SCHEMA = {"width": pa.int32(), "height": pa.int32(), "data": pa.binary()}
 #: Bytes of pixels in one Arrow batch that goes out.
 BATCH_BYTES = 1 << 26
@@ -217,8 +223,25 @@ def png_bytes(pixels: np.ndarray, level: int = 6, kind: int = 0) -> bytes:
     return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", packed) + chunk(b"IEND", b"")
 
 
+class Refused(ValueError):
+    """A file that is not broken, but not read: ``kind`` says why."""
+
+    def __init__(self, kind: str, text: str):
+        super().__init__(text)
+        self.kind = kind
+
+
+def _allowed(width: int, height: int) -> None:
+    if width * height > MAX_DECODED:
+        raise Refused("LimitExceeded", f"decoded image has {width * height} pixels, limit is {MAX_DECODED}")
+
+
 def png_pixels(content: bytes) -> np.ndarray:
-    """Pixels of an 8-bit PNG without interlacing; raises ValueError for another or a broken one."""
+    """Pixels of an 8-bit PNG without interlacing or colour key; raises Refused for other ones, ValueError for a broken one.
+
+    The header's size is held against the limit before anything is inflated,
+    and no more is inflated than the pixels that it names.
+    """
     at, head, packed, palette, alphas = 8, None, [], None, b""
     while at + 12 <= len(content):
         size, kind = struct.unpack(">I4s", content[at : at + 8])
@@ -232,11 +255,14 @@ def png_pixels(content: bytes) -> np.ndarray:
         elif kind == b"IDAT":
             packed.append(body)
         at += size + 12
-    if not head or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6):
-        raise ValueError("not an 8-bit PNG without interlacing")
+    if not head or head[3] not in (0, 2, 3, 4, 6) or not head[0] or not head[1]:
+        raise ValueError("no PNG header")
+    _allowed(head[0], head[1])
+    if head[2] != 8 or head[6] or (alphas and head[3] in (0, 2)):
+        raise Refused("CapabilityMissing", "not an 8-bit PNG without interlacing and colour key")
     w, h, step = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = zlib.decompressobj().decompress(b"".join(packed), h * (w * step + 1))
     except zlib.error as error:
         raise ValueError(str(error)) from error
     if len(raw) < h * (w * step + 1):
@@ -290,6 +316,7 @@ def bmp_pixels(content: bytes) -> np.ndarray:
     (first,) = struct.unpack("<I", content[10:14])
     w, h, _, depth, packing = struct.unpack("<iiHHI", content[18:34])
     line = (abs(w) * depth // 8 + 3) // 4 * 4
+    _allowed(abs(w), abs(h))
     if depth not in (24, 32) or packing not in (0, 3) or w <= 0 or len(content) < first + line * abs(h):
         raise ValueError("not an uncompressed bitmap of 24 or 32 bits")
     rows = np.frombuffer(content, np.uint8, line * abs(h), first).reshape(abs(h), line)[:, : w * depth // 8].reshape(abs(h), w, -1)
@@ -305,8 +332,9 @@ ENCODERS = {"png": png_bytes, "bmp": bmp_bytes}
 def decode(df: DataFrame, content: str = "content", media: str = "media_type") -> DataFrame:
     """``df`` with width, height, data and ``error`` in place of the content.
 
-    PNG and BMP are read; other types give ``CapabilityMissing``, broken files
-    ``DecodeFailed``, and no pixels.
+    PNG and BMP are read; other types and kinds of them give
+    ``CapabilityMissing``, images over the limit ``LimitExceeded``, broken
+    files ``DecodeFailed``, and no pixels.
     """
     others = [f for f in df.schema.fields if f.name not in (content, *SCHEMA, "error")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["width int", "height int", "data binary", "error string"])
@@ -317,6 +345,8 @@ def decode(df: DataFrame, content: str = "content", media: str = "media_type") -
             return None, None, None, "CapabilityMissing"
         try:
             pixels = reader(bytes(row[content] or b""))
+        except Refused as refused:
+            return None, None, None, refused.kind
         except (ValueError, TypeError, struct.error):
             return None, None, None, "DecodeFailed"
         return pixels.shape[1], pixels.shape[0], np.ascontiguousarray(pixels).tobytes(), None
@@ -375,16 +405,58 @@ def png_candidates(df: DataFrame, tried: list[tuple[int, int]]) -> DataFrame:
     return df.select(*(F.col(f"`{f.name}`") for f in others), "width", "height", "data").mapInArrow(run, schema)
 
 
+def declared(content: Column) -> Column:
+    """``(width, height)`` that the header of a PNG or BMP names; null for other types, which have no pixels here."""
+    png, bmp = F.hex(F.substring(content, 1, 8)) == F.lit(PNG.hex().upper()), F.hex(F.substring(content, 1, 2)) == "424D"
+    high = u(content, 22, 4, little=True)
+    return F.struct(
+        F.when(png, u(content, 16, 4)).when(bmp, u(content, 18, 4, little=True)).alias("width"),
+        F.when(png, u(content, 20, 4)).when(bmp, F.when(high >= 1 << 31, (1 << 32) - high).otherwise(high)).alias("height"),
+    )
+
+
+def refused(requests: DataFrame) -> Column:
+    """Why a request is not carried out, from its files' headers alone: ``LimitExceeded``, ``InvalidOptions`` or null.
+
+    In order: the pixels of the image, the crop in the turned image, the
+    pixels of the output, then the watermark's size and place on it.  What a
+    header does not tell is not judged here.
+    """
+    facts = declared(F.col("content"))
+
+    def judged(facts: Column) -> Column:
+        turned = F.coalesce(F.col("orientation").between(5, 8), F.lit(False)) != F.coalesce(F.pmod("rotate", F.lit(180)) == 90, F.lit(False))
+        w, h = (F.when(turned, facts[a]).otherwise(facts[b]) for a, b in (("height", "width"), ("width", "height")))
+        x, y, cw, ch = (F.get("crop", k).cast("long") for k in range(4))
+        outside = crop_error(x, y, cw, ch, w, h).isNotNull() | (F.least(x, y, cw, ch) < 0)
+        cut_w, cut_h = F.coalesce(cw, w), F.coalesce(ch, h)
+        out_w, out_h = output_size(cut_w, cut_h, F.col("w").cast("long"), F.col("h").cast("long"))
+        error = (
+            F.when(facts["width"] * facts["height"] > MAX_DECODED, "LimitExceeded").when(outside, "InvalidOptions")
+            .when(out_w * out_h > MAX_OUTPUT, "LimitExceeded")
+        )
+        if "mark" not in requests.columns:
+            return error
+        mark = declared(F.col("mark"))
+        fits = watermark_fits(out_w, out_h, mark["width"], mark["height"], F.col("position"), F.col("margin").cast("long"))
+        return error.when(~fits, "InvalidOptions").when(mark["width"] * mark["height"] > MAX_WATERMARK, "LimitExceeded")
+
+    return F.element_at(F.transform(F.array(facts), judged), 1)
+
+
 def transform(requests: DataFrame) -> DataFrame:
     """The whole pipeline from file bytes to file bytes.
 
     ``requests`` has image_id, content, media_type, orientation, rotate, crop
     (an array of x, y, w, h or null), w, h, fit, position, background (an array
     of four), blur, sharpen, opacity and output.  The order is orientation,
-    rotation, crop, resize, blur, sharpen, watermark (the image's own top left
-    quarter, where an opacity is given).  Returns image_id, width, height,
-    error and content.
+    rotation, crop, resize, blur, sharpen, watermark.  The watermark is the
+    file in ``mark`` (with mark_type and margin) where there are such columns
+    and it is not null; without them the image's own top left quarter, where
+    an opacity is given.  Limits are checked by the headers before a pixel is
+    read.  Returns image_id, width, height, error and content.
     """
+    own_mark = "mark" not in requests.columns
 
     def step(pixels: np.ndarray, row: dict) -> np.ndarray:
         pixels = rotated(oriented(pixels, row["orientation"]), row["rotate"])
@@ -399,9 +471,21 @@ def transform(requests: DataFrame) -> DataFrame:
             pixels = resized(pixels, w or max(1, math.floor(width * ratio + 0.5)), h or max(1, math.floor(height * ratio + 0.5)))
         pixels = blurred(pixels, row["blur"]) if row["blur"] else pixels
         pixels = sharpened(pixels, row["sharpen"]) if row["sharpen"] else pixels
-        mark = pixels[: len(pixels) // 2, : pixels.shape[1] // 2]
-        return marked(pixels, mark, row["position"], row["opacity"], 1) if row["opacity"] else pixels
-
-    decoded = map_images(decode(requests), step)
-    done = decoded.withColumn("size", F.struct("width", "height"))
+        if own_mark:
+            mark = pixels[: len(pixels) // 2, : pixels.shape[1] // 2]
+            return marked(pixels, mark, row["position"], row["opacity"], 1) if row["opacity"] else pixels
+        if row["mark_data"] is None:
+            return pixels
+        mark = np.frombuffer(row["mark_data"], np.uint8).reshape(row["mark_height"], row["mark_width"], 4)
+        return marked(pixels, mark, row["position"], row["opacity"], row["margin"])
+
+    asked = requests.withColumn("refused_", refused(requests))
+    if not own_mark:
+        asked = asked.withColumn("marked_", F.col("mark").isNotNull()).withColumn("mark", F.when(F.col("refused_").isNull(), F.col("mark")))
+        asked = decode(asked, "mark", "mark_type").withColumnsRenamed({c: f"mark_{c}" for c in ("width", "height", "data")})
+        wrong = F.when(F.col("marked_"), F.col("error"))
+        asked = asked.withColumn("refused_", F.coalesce("refused_", wrong)).drop("error", "marked_")
+    asked = asked.withColumn("content", F.when(F.col("refused_").isNull(), F.col("content")))
+    decoded = decode(asked).withColumn("error", F.coalesce("refused_", "error")).drop("refused_")
+    done = map_images(decoded, step).withColumn("size", F.struct("width", "height"))
     return encode(done).select("image_id", F.col("size.width").alias("width"), F.col("size.height").alias("height"), "error", "content")

@@ -274,6 +274,30 @@ T18 = (
 )
 
 
+def t18_limits(spark, sf):
+    """The pipeline where crops, outputs and watermarks may be out of bounds; a watermark is a file of its own."""
+    kind, images = F.col("image_id") % 8, _images(spark, sf)
+    files = rasters.encode(images.withColumn("media_type", F.lit("png")), "media_type")
+    mark = rasters.encode(images.withColumn("media_type", F.lit("bmp")), "media_type").select("image_id", F.col("content").alias("mark_file"))
+    size = lambda *pairs: F.element_at(F.map_from_arrays(F.array(*(F.lit(k) for k, _ in pairs)), F.array(*(F.lit(v) for _, v in pairs))), kind.cast("int"))
+    asked = files.join(mark, "image_id").select(
+        "image_id", "content", F.when(kind == 7, "jpeg").otherwise("png").alias("media_type"), F.when(kind == 2, 6).otherwise(1).alias("orientation"), F.lit(0).alias("rotate"),
+        F.when(kind == 1, F.array(*map(F.lit, (0, 0, W + 1, H)))).when(kind == 2, F.array(*map(F.lit, (0, 0, H, W)))).alias("crop"),
+        size((0, 30), (3, 8193), (4, 20_000), (5, 12), (6, W)).alias("w"), size((0, 20), (3, 8192), (5, 12), (6, H)).alias("h"),
+        F.lit("fill").alias("fit"), F.lit("top-left").alias("position"), F.array(*map(F.lit, BACKGROUND)).alias("background"),
+        F.lit(None).cast("double").alias("blur"), F.lit(None).cast("double").alias("sharpen"), F.lit(50).alias("opacity"),
+        F.when(kind.isin(0, 5, 6), F.col("mark_file")).alias("mark"), F.lit("bmp").alias("mark_type"), F.when(kind == 0, 2).otherwise(0).alias("margin"), F.lit("png").alias("output"),
+    )
+    done = rasters.transform(asked)
+    return done.select("image_id", "error", "width", "height", F.col("content").isNotNull().alias("made"))
+
+
+T18_LIMITS = f"""SELECT vec_id AS image_id, CASE vec_id % 8 WHEN 1 THEN 'InvalidOptions' WHEN 3 THEN 'LimitExceeded' WHEN 4 THEN 'LimitExceeded'
+  WHEN 5 THEN 'InvalidOptions' WHEN 7 THEN 'CapabilityMissing' END AS error,
+  (CASE vec_id % 8 WHEN 0 THEN 30 WHEN 2 THEN {H} WHEN 6 THEN {W} END)::INTEGER AS width,
+  (CASE vec_id % 8 WHEN 0 THEN 20 WHEN 2 THEN {W} WHEN 6 THEN {H} END)::INTEGER AS height, vec_id % 8 IN (0, 2, 6) AS made FROM embeddings"""
+
+
 def q_metrics(spark, sf):
     """Each image against a coarser copy of itself; every seventh against an equal one."""
     coarse = F.when(F.col("image_id") % 7 == 0, F.col("v")).otherwise(F.floor(F.col("v") / 16) * 16 + F.col("x") % 3)
@@ -315,6 +339,6 @@ QUERIES = {
     "t1_orient": (t1_orient, T1), "t2_rotate": (t2_rotate, T2), "t3_crop": (t3_crop, T3), "t5_resize": (t5_resize, T5), "t6_fill": (t6_fill, T6),
     "t7_contain": (t7_contain, T7), "t8_inside": (t8_inside, T8), "t9_cover": (t9_cover, T9), "t10_pad": (t10_pad, T10),
     "t12_blur": (t12_blur, T12), "t13_unsharp": (t13_unsharp, T13), "t14_watermark": (t14_watermark, T14), "t16_transparency": (t16_transparency, T16),
-    "t17_output_alpha": (t17_output_alpha, T17), "t18_pipeline": (t18_pipeline, T18), "e2_round_trip": (e2_round_trip, E2), "e4_png": (e4_png, E4_PNG),
+    "t17_output_alpha": (t17_output_alpha, T17), "t18_pipeline": (t18_pipeline, T18), "t18_limits": (t18_limits, T18_LIMITS), "e2_round_trip": (e2_round_trip, E2), "e4_png": (e4_png, E4_PNG),
     "q_metrics": (q_metrics, Q), "e4_smallest": (e4_smallest, E4), "e7_target": (e7_target, E7),
 }

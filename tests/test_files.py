@@ -52,3 +52,21 @@ def test_transform_keeps_the_order_of_steps(spark):
     want = rasters.marked(want, want[:1, :2], "center", 50, 1)
     assert (rasters.bmp_pixels(found[0].content) == want).all() and (found[0].width, found[0].height) == (5, 3)
     assert found[1].error == "DecodeFailed" and found[1].content is None
+
+
+def test_files_that_are_not_read_say_why(spark):
+    """Kinds of PNG without a reader, images over the limit, and files that inflate to more than they declare."""
+    chunk = lambda name, body: len(body).to_bytes(4) + name + body + zlib.crc32(name + body).to_bytes(4)
+    png = lambda w, h, depth, colour, interlace, data, *more: (
+        rasters.PNG + chunk(b"IHDR", w.to_bytes(4) + h.to_bytes(4) + bytes([depth, colour, 0, 0, interlace])) + b"".join(more) + chunk(b"IDAT", zlib.compress(data)) + chunk(b"IEND", b"")
+    )
+    key = chunk(b"tRNS", bytes(6))
+    files = [
+        (png(2, 1, 8, 2, 0, bytes(7)), None), (png(2, 1, 8, 2, 0, bytes(7), key), "CapabilityMissing"), (png(2, 1, 8, 0, 0, bytes(3), chunk(b"tRNS", bytes(2))), "CapabilityMissing"),
+        (png(2, 1, 16, 2, 0, bytes(13)), "CapabilityMissing"), (png(9, 1, 1, 0, 0, bytes(3)), "CapabilityMissing"), (png(2, 1, 8, 2, 1, bytes(7)), "CapabilityMissing"),
+        (png(20_000, 20_000, 8, 2, 0, bytes(9)), "LimitExceeded"), (png(2, 1, 8, 2, 0, bytes(50_000_000)), None), (png(2, 2, 8, 2, 0, bytes(7)), "DecodeFailed"),
+        (png(0, 1, 8, 2, 0, b""), "DecodeFailed"), (b"", "DecodeFailed"),
+    ]
+    df = spark.createDataFrame([(k, c, "png") for k, (c, _) in enumerate(files)], "id int, content binary, media_type string")
+    found = {r.id: (r.error, r.width) for r in rasters.decode(df).collect()}
+    assert [found[k][0] for k in range(len(files))] == [e for _, e in files] and found[7][1] == 2

@@ -202,8 +202,8 @@ def test_hosts_are_read_as_browsers_do(spark):
 
 
 def test_vector_images_are_recognised_behind_any_prologue(spark):
-    yes = ["<svg>", "\ufeff <svg ", "<?xml version='1.0'?>\n<svg\t", "<?xml?><!DOCTYPE svg>\n<!-- a --><!-- b -->\n<SVG>", "<!--c-->" * 20_000 + "<svg>", " " * 100_000 + "<svg>"]
-    no = ["", "<svgx>", "x<svg>", "<!-- <svg>", "<?xml <svg>", "<!--c-->" * 20_000, "<html><svg>", "<!--a--> x <svg>", " " * 100_000]
+    yes = ["<svg>", "\ufeff <svg ", "<?xml version='1.0'?>\n<svg\t", "<?xml?><!DOCTYPE svg>\n<!-- a --><!-- b -->\n<svg>", "<!--c-->" * 20_000 + "<svg>", " " * 100_000 + "<svg>"]
+    no = ["<SVG>", "<?XML ?><svg>", "<!doctype svg><svg>", "", "<svgx>", "x<svg>", "<!-- <svg>", "<?xml <svg>", "<!--c-->" * 20_000, "<html><svg>", "<!--a--> x <svg>", " " * 100_000]
     assert values(spark, media.is_svg, yes) == [True] * len(yes) and values(spark, media.is_svg, no) == [False] * len(no)
     assert values(spark, lambda t: media.sniff(t.cast("binary")), yes) == ["svg"] * len(yes)
     assert values(spark, lambda t: media.sniff(t.cast("binary")), no) == [None] * len(no)
