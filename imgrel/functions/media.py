@@ -199,8 +199,8 @@ def header(content: Column) -> Column:
 
     def walked(file: Column, kind: Column) -> Column:
         places = F.struct(
-            _webp_chunk(file, kind == "webp").alias("chunk"), _jpeg_frame(file, kind == "jpeg").alias("frame"),
-            tiff.header(F.when(kind == "tiff", file)).alias("directory"),
+            F.when(kind == "webp", _webp_chunk(file, F.lit(True))).alias("chunk"), F.when(kind == "jpeg", _jpeg_frame(file, F.lit(True))).alias("frame"),
+            F.when(kind == "tiff", tiff.header(file)).alias("directory"),
         )
         return _let(places, lambda at: _header(file, kind, at["chunk"], at["frame"], at["directory"]))
 

@@ -177,6 +177,24 @@ SELECT event_id AS req_id, CASE WHEN event_id % 4 = 0 THEN '198.51.100.7' ELSE '
     ELSE '8.8.8.8, 203.0.113.9' END AS xff,
   CASE WHEN event_id % 3 = 0 THEN '172.32.0.' || CAST(event_id % 256 AS VARCHAR(20)) END AS real_ip
 FROM {events}""",
+    # AVIF files in hexadecimal text: eight shapes of the tree of boxes
+    "avif": """
+SELECT req_id, w, h, shape, '00000010667479706176696600000000' || CASE shape
+  WHEN 3 THEN mdat WHEN 4 THEN meta || '00' WHEN 5 THEN '000000016D6461740000000000000014' || '01020304' || meta
+  WHEN 6 THEN meta || '000000006D646174FFFF' WHEN 7 THEN meta || '000000096D646174' ELSE meta || mdat END AS file
+FROM (
+  SELECT *, lpad(hex(CAST(12 + length(inner_) / 2 AS BIGINT)), 8, '0') || '6D65746100000000' || inner_ AS meta, '0000000C6D646174DEADBEEF' AS mdat
+  FROM (
+    SELECT *,
+      lpad(hex(CAST(16 + length(props) / 2 AS BIGINT)), 8, '0') || '69707270' || lpad(hex(CAST(8 + length(props) / 2 AS BIGINT)), 8, '0') || '6970636F' || props
+        || CASE WHEN shape = 2 THEN '0000001869726566000000000000000C6175786C00010001' ELSE '' END AS inner_
+    FROM (
+      SELECT *, '000000146973706500000000' || lpad(hex(w), 8, '0') || lpad(hex(h), 8, '0') || '000000146973706500000000' || '0000000100000001'
+        || CASE shape WHEN 1 THEN '000000386175784300000000' || '75726E3A6D7065673A6D706567423A636963703A73797374656D733A617578696C696172793A616C70686100' ELSE '' END AS props
+      FROM (SELECT p_partkey AS req_id, p_partkey % 8 AS shape, CAST(p_size AS BIGINT) * 31 + 1 AS w, p_partkey % 5000 + 1 AS h FROM {part}) AS a
+    ) AS b
+  ) AS c
+) AS d""",
     # forwarded-for chains of both families; a is the third group of a hop, 40960 to 49151 of which are trusted
     "hops": """
 SELECT *, CASE req_id % 5 WHEN 1 THEN six || ', ' || four WHEN 2 THEN four || ',' || six WHEN 3 THEN 'junk, ' || six || ' , 10.9.9.9'
