@@ -42,12 +42,13 @@ def css_text(css: str) -> str:
     for opened in _URL.finditer(css):
         if opened.start() < at:
             continue
-        depth, value, after = 0, css[opened.end():], len(css)
+        depth, value, after = 0, None, len(css)
         for sign in _PARENTHESIS.finditer(css, opened.end()):
             depth += 1 if sign[0] == "(" else -1
             if depth < 0:
                 value, after = css[opened.end():sign.start()], sign.end()
                 break
+        value = css[opened.end():] if value is None else value
         out += [css[at:opened.start()], "url()" if _dangerous(value.strip().strip("'\"")) else f"url({value})"]
         at = after
     return "".join(out) + css[at:]

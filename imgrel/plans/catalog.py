@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dashboards, metadata, networks, options, origin, parts, policies, public, rasters, requests, service, streams, wire
+from . import dashboards, metadata, networks, options, origin, parts, payloads, policies, public, rasters, requests, service, stores, streams, wire
 
-_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES, **metadata.QUERIES, **origin.QUERIES, **public.QUERIES, **streams.QUERIES, **networks.QUERIES, **parts.QUERIES, **dashboards.QUERIES}
+_ALL = {**requests.QUERIES, **service.QUERIES, **rasters.QUERIES, **wire.QUERIES, **policies.QUERIES, **options.QUERIES, **metadata.QUERIES, **origin.QUERIES, **public.QUERIES, **streams.QUERIES, **networks.QUERIES, **parts.QUERIES, **dashboards.QUERIES, **payloads.QUERIES, **stores.QUERIES}
 
 
 def queries():
