@@ -30,7 +30,7 @@ from .shared import Buckets, materialize, table
 
 MIN_LINES = 2
 #: One pair of lines in so many is no boundary.
-GAP = 8
+GAP = 16
 #: A chunk closes after so many lines of text at the latest.
 MOST = 8
 
