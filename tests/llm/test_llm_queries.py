@@ -16,7 +16,7 @@ from imgrel.llm.bpe import default_path
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_its_sql(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     found = sorted(map(str, df.select(*sorted(df.columns)).collect()))
