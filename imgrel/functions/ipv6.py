@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from .urls import DENIED, address, within
 
+#: Groups with at most one gap; how many there are is not judged.
+FORM = "^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?\\z"
+#: The most characters of a literal, with a dotted tail.
+LONGEST = 45
+
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once."""
@@ -26,27 +31,20 @@ def digits(text: Column) -> Column:
         )))
 
     def padded(text: Column) -> Column:
-        def run(halves: Column) -> Column:
-            groups = lambda k: F.filter(F.split(F.coalesce(F.get(halves, k), F.lit("")), ":"), lambda g: g != "")
-            sides = F.struct(groups(0).alias("a"), groups(1).alias("b"))
-
-            def fill(x: Column) -> Column:
-                missing = 8 - F.size(x["a"]) - F.size(x["b"])
-                full = F.concat(x["a"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), x["b"])
-                valid = (
-                    (F.size(halves) <= 2) & F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
-                    & ~text.rlike("^:[^:]|[^:]:$|:::")
-                )
-                return _let(full, lambda f: F.when(
-                    valid & F.forall(f, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(f, lambda g: F.lpad(g, 4, "0")), "")
-                ))
+        """Groups of four digits each, then zeros for the gap."""
+        four = F.regexp_replace(F.regexp_replace(text, "([0-9a-f]+)", "000$1"), "[0-9a-f]*([0-9a-f]{4})", "$1")
 
-            return _let(sides, fill)
+        def filled(four: Column) -> Column:
+            digits = F.length(F.replace(four, F.lit(":"), F.lit("")))
+            gap = F.contains(four, F.lit("::"))
+            full = F.replace(F.replace(four, F.lit("::"), F.repeat(F.lit("0"), 32 - digits)), F.lit(":"), F.lit(""))
+            return F.when(F.when(gap, digits < 32).otherwise(digits == 32), full)
 
-        return _let(F.split(text, "::", -1), run)
+        return F.when(text.rlike(FORM), _let(four, filled))
 
     parts = F.struct(F.lower(text).alias("text"), F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+){3})$", 1).alias("tail"))
-    return _let(parts, lambda p: _let(plain(p), padded))
+    likely = F.contains(text, F.lit(":")) & (F.length(text) <= LONGEST)
+    return F.when(likely, F.when(F.contains(text, F.lit(".")), _let(_let(parts, plain), padded)).otherwise(_let(F.lower(text), padded)))
 
 
 def denied_digits(d: Column) -> Column:

@@ -18,7 +18,10 @@ IPV4 = r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0
 
 def address(text: Column) -> Column:
     """An IPv4 address as a number; null if the text is none."""
-    number = F.aggregate(F.split(text, r"\."), F.lit(0).cast("long"), lambda acc, p: acc * 256 + p.try_cast("long"))
+    second, third = F.substring_index(F.substring_index(text, ".", 2), ".", -1), F.substring_index(F.substring_index(text, ".", -2), ".", 1)
+    number = F.lit(0).cast("long")
+    for part in (F.substring_index(text, ".", 1), second, third, F.substring_index(text, ".", -1)):
+        number = number * 256 + part.try_cast("long")
     return F.when(text.rlike(IPV4), number)
 
 

@@ -65,3 +65,28 @@ def test_clients_of_many_users_match_their_sql(spark, sf_dir, tmp_path):
     found = sorted((r.req_id, r.client) for r in plans.u7_networks(spark, str(tmp_path)).collect())
     assert found == sorted(con.sql(f"SELECT req_id, client FROM ({plans.U7})").fetchall())
     assert max(len(c.rsplit("::", 1)[-1]) for _, c in found if "::" in c and "." not in c) > 4
+
+
+def test_addresses_keep_their_rows_and_are_not_shuffled(spark):
+    table = spark.createDataFrame([("10.0.0.0/9",), ("fe80::/10",)], "network string")
+    given = [("10.1.1.1", 1), ("10.1.1.1", 1), ("10.128.0.0", 2), (None, 3), ("FEBF::1", 4), ("fec0::1", 5), ("1:" * 9000 + "1", 6), ("fe80::1\n", 7)]
+    judged = networks.denied(spark.createDataFrame(given, "address string, n int"), table)
+    assert sorted((r.n, r.denied) for r in judged.collect()) == [(1, True), (1, True), (2, False), (3, False), (4, True), (5, False), (6, False), (7, False)]
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "rightHint=(strategy=broadcast)" in plan and "Generate explode(array_compact" not in plan
+
+
+def test_many_networks_of_a_length_are_joined_by_shuffle(spark, monkeypatch):
+    table = spark.createDataFrame([("10.0.0.0/8", "a"), ("10.0.0.0/10", "b"), ("10.64.0.0/12", "c"), ("10.0.0.0/10", "a")], "network string, tag string")
+    some = spark.createDataFrame([("10.63.0.1",), ("10.64.0.1",), ("10.80.0.1",), ("11.0.0.1",)], "address string")
+    for rows in (networks.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(networks, "BROADCAST_ROWS", rows)
+        found = {r.address: (r.network, r.tag) for r in networks.longest_match(some, table).collect()}
+        assert found == {"10.63.0.1": ("10.0.0.0/10", "a"), "10.64.0.1": ("10.64.0.0/12", "c"), "10.80.0.1": ("10.0.0.0/8", "a"), "11.0.0.1": (None, None)}
+
+
+def test_equal_requests_stay_apart(spark):
+    row = (1, "10.0.0.1", "1.1.1.1, 2.2.2.2", None)
+    df = spark.createDataFrame([row, row, (1, "10.0.0.1", "3.3.3.3", None)], "req_id long, peer string, xff string, real_ip string")
+    found = networks.clients(df, spark.createDataFrame([("10.0.0.0/8",)], "network string")).collect()
+    assert sorted(r.client for r in found) == ["2.2.2.2", "2.2.2.2", "3.3.3.3"]
