@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from imgrel.functions import media, negotiate, parse, signing, svg, urls
+from imgrel.functions import tiff as tiff_functions
 from imgrel.operators import cache, limits, metrics, rasters
 
 
@@ -210,3 +211,22 @@ def test_vector_images_are_recognised_behind_any_prologue(spark):
     box = lambda major, *brands: (16 + 4 * len(brands)).to_bytes(4).hex() + "66747970" + (major + "\0\0\0\0" + "".join(brands)).encode().hex()
     found = values(spark, lambda t: media.sniff(F.unhex(t)), [box("avif"), box("mif1", "miaf", "avif"), box("mif1", "heic"), box("mif1", "xavi", "fxxx"), "3C737667FF3E"])
     assert found == ["avif", "avif", None, None, None]
+
+
+def test_tiff_directories(spark):
+    """Both orders, cut files, a directory out of reach, and each tag's first entry; every entry is read once."""
+    def tiff(order, entries, first=8, count=None):
+        body = b"".join(struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "HH", v, 0) if kind == 3 else struct.pack(order + "I", v)) for tag, kind, v in entries)
+        start = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", first)
+        return start + struct.pack(order + "H", len(entries) if count is None else count) + body
+
+    size = [(256, 4, 70_000), (257, 3, 9)]
+    files = [
+        tiff("<", [(1, 3, 5), *size, (262, 3, 2), (277, 3, 4)]), tiff(">", [*size, (256, 3, 1), (262, 3, 1), (277, 3, 2)]), tiff("<", size, first=1 << 31),
+        tiff(">", size, first=(1 << 32) - 1), tiff(">", size)[:-1], tiff(">", size)[:-4], tiff("<", size, count=65535), tiff("<", []), b"II*\0", b"",
+    ]
+    df = spark.createDataFrame([(k, bytearray(f)) for k, f in enumerate(files)] + [(len(files), None)], "k int, content binary").select("k", tiff_functions.header(F.col("content")).alias("h"))
+    found = [tuple(r.h) for r in df.orderBy("k").collect()]
+    nothing = (None, None, False)
+    assert found == [(70_000, 9, True), (70_000, 9, True), nothing, nothing, (70_000, 9, False), (70_000, None, False), (70_000, 9, False), *[nothing] * 4]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("conv(") < 50
