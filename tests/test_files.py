@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from imgrel.functions.media import sniff
 from imgrel.operators import encode, rasters
+from imgrel.plans import rasters as plans
 from imgrel.sources import files
 
 
@@ -70,3 +71,22 @@ def test_files_that_are_not_read_say_why(spark):
     df = spark.createDataFrame([(k, c, "png") for k, (c, _) in enumerate(files)], "id int, content binary, media_type string")
     found = {r.id: (r.error, r.width) for r in rasters.decode(df).collect()}
     assert [found[k][0] for k in range(len(files))] == [e for _, e in files] and found[7][1] == 2
+
+
+def test_a_request_takes_one_python_worker(spark, sf_dir):
+    """From file to file in one pass, and the whole query without a second run for what failed."""
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    made = lambda k: (k, rasters.png_bytes(np.full((2, 3, 4), k % 251, np.uint8)), "png", 1, 0, None, None, None, None, "top-left", [0, 0, 0, 0], None, None, 100)
+    schema = ("image_id long, content binary, media_type string, orientation int, rotate int, crop array<int>, w int, h int, fit string, position string, "
+              "background array<int>, blur double, sharpen double, opacity int, mark binary, mark_type string, margin int, output string")
+    mark = rasters.bmp_bytes(np.full((1, 1, 4), 255, np.uint8))
+    rows = [(*made(k), *((mark, "bmp") if k % 3 == 0 else (b"x", "bmp") if k % 3 == 1 else (None, None)), 0, "gif" if k % 2 else "png") for k in range(1, 1101)]
+    done = rasters.transform(spark.createDataFrame(rows, schema).coalesce(1))
+    assert passes(done) == 1 and passes(plans.t18_pipeline(spark, sf_dir)) == 3
+    found = {r.image_id: r for r in done.collect()}
+    assert len(found) == 1100
+    for k, r in found.items():
+        assert (r.error, r.width, r.height) == (("DecodeFailed", None, None) if k % 3 == 1 else (None, 3, 2)) and (r.content is not None) == (k % 3 != 1 and k % 2 == 0)
+        if r.content is not None:
+            corner, rest = rasters.png_pixels(r.content)[0, 0], rasters.png_pixels(r.content)[0, 1]
+            assert rest.tolist() == [k % 251] * 4 and (corner.tolist() == [255] * 4) == (k % 3 == 0 or k % 251 == 255)
